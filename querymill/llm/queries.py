@@ -18,6 +18,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("source").alias("host"), F.round("shrunk_rate", 9).alias("shrunk_rate"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querymill.llm.language_id import identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return identify(docs, keep_text=False).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from querymill.llm.url_filter import filter_urls
 
@@ -25,6 +32,14 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querymill.llm.quality_knn import classify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return classify(docs, labels, keep_text=False).select("doc_id", "held_out", "score", "predicted")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from querymill.llm.mixing import mix
 
@@ -56,7 +71,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules,
+        op2_language_id,
         op3_url_filter,
+        op4_quality_classifier,
         op6_mix_sources,
         op7_bpe,
         op8_token_counts,
