@@ -40,6 +40,13 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(docs, labels, keep_text=False).select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querymill.llm.substring_dedup import remove_repeats
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs, keep_text=False).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from querymill.llm.mixing import mix
 
@@ -74,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_language_id,
         op3_url_filter,
         op4_quality_classifier,
+        op5_substring_dedup,
         op6_mix_sources,
         op7_bpe,
         op8_token_counts,
