@@ -68,6 +68,13 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, tokenizer("piece_bpe_32k.model"), keep_text=False)
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querymill.llm.ngram_join import jaccard_classes
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_classes(docs, keep_text=False).select("doc_id", "n_shingles", "component_id")
+
+
 def tokenizer(name: str) -> str:
     import public_tokenizers
 
@@ -85,5 +92,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_mix_sources,
         op7_bpe,
         op8_token_counts,
+        op10_jaccard_join,
     )
 }
