@@ -68,6 +68,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(docs, tokenizer("piece_bpe_32k.model"), keep_text=False)
 
 
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from querymill.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from querymill.llm.ngram_join import jaccard_classes
 
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_mix_sources,
         op7_bpe,
         op8_token_counts,
+        op9_nearest_neighbours,
         op10_jaccard_join,
     )
 }
