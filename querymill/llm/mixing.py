@@ -9,9 +9,9 @@ Cumulative sums have two levels: sums of buckets first, then rows within one
 bucket, so neither a hot source nor the whole table meets in one task.
 
 Defined cases: a null text has size 0, and nothing is taken of it; a null
-source is a source of its own, ordered last; repeated rows stand in line one by
-one; equal shuffle keys are ordered by doc_id and size; an empty table gives an
-empty result; further columns are kept, and those named like a result column
+source is a source of its own, ordered last; repeated rows are taken alike;
+equal shuffle keys are ordered by doc_id, size and a hash of the text; an empty
+table gives an empty result; further columns are kept, and those named like a result column
 are replaced.
 """
 
@@ -56,16 +56,42 @@ def source_targets(sums: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: in
     return s.select("source", "source_size", F.when(F.col("is_free"), share).otherwise(F.col("cap").cast("double")).alias("target"))
 
 
+MADE = ("size", "source_size", "target", "taken", "copies")
+
+
 def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", salt: str = SALT) -> DataFrame:
-    """``docs`` with size, source_size, target, taken (words, repeats counted) and copies (times taken)."""
-    made = ("size", "source_size", "target", "taken", "copies")
-    own = [c for c in docs.columns if c not in made]
-    d = docs.select(*own, F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    d = d.withColumn("__key", F.when(F.col(source_col).isNull(), "-").otherwise(F.concat(F.lit("+"), F.col(source_col))))
+    """``docs`` with size, source_size, target, taken (words, repeats counted) and copies (times taken).
+
+    The plan works on a few numbers for each document; texts are moved once, to
+    meet the result, and only if columns besides the id are asked for.
+    """
+    text_hash = F.xxhash64(text_col)
+    own = [c for c in docs.columns if c not in MADE]
+    plan = mix_plan(docs, text_col, id_col, source_col, salt)
+    keys = [(F.col(id_col), "__id"), (F.col(source_col), "__source"), (text_hash, "__text")]
+    plan = plan.select(F.col(id_col).alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__text"), *MADE)
+    joined = docs.select(*own).join(plan, [a.eqNullSafe(F.col(b)) for a, b in keys])
+    return joined.select(*own, *MADE)
+
+
+def mix_rows(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", salt: str = SALT) -> DataFrame:
+    """A row (id, and what ``mix`` adds) for each document, without its other columns."""
+    plan = mix_plan(docs, text_col, id_col, source_col, salt)
+    return plan.select(id_col, *MADE, F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("__row")).drop("__row")
+
+
+def mix_plan(docs: DataFrame, text_col: str, id_col: str, source_col: str, salt: str) -> DataFrame:
+    """(id, source, text_hash, rows, and what ``mix`` adds): one for each distinct row."""
+    made, own = MADE, [id_col, "source", "text_hash", "rows"]
+    d = docs.select(F.col(id_col), F.col(source_col).alias("source"), F.xxhash64(text_col).alias("text_hash"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    d = d.groupBy(id_col, "source", "text_hash", "size").agg(F.count(F.lit(1)).alias("rows"))
+    # Repeated rows stand in line as one, with the words of all.
+    d = d.withColumn("one", F.col("size")).withColumn("size", F.col("size") * F.col("rows"))
+    d = d.withColumn("__key", F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("source"))))
     d = d.withColumn("__h", F.md5(F.concat(F.lit(salt + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))))
     d = stable(d.withColumn("__line", F.substring("__h", 1, LINE_DIGITS)))
 
-    parts = d.groupBy("__key", "__line").agg(F.sum("size").alias("part"), F.first(source_col).alias("source"))
+    parts = d.groupBy("__key", "__line").agg(F.sum("size").alias("part"), F.first("source").alias("source"))
     sums = parts.groupBy("__key").agg(F.first("source").alias("source"), F.sum("part").alias("source_size"))
     targets = source_targets(sums)
     before = Window.partitionBy("__key").orderBy("__line").rowsBetween(Window.unboundedPreceding, -1)
@@ -73,14 +99,14 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
     targets = targets.withColumn("__k", F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("source")))).drop("source")
     parts = parts.drop("source").join(targets, F.col("__key") == F.col("__k")).select(F.col("__key").alias("__k"), F.col("__line").alias("__l"), "__before", "source_size", "target")
 
-    row = Window.partitionBy("__key", "__line").orderBy("__h", F.col(id_col).asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, 0)
+    row = Window.partitionBy("__key", "__line").orderBy("__h", F.col(id_col).asc_nulls_first(), "size", "text_hash").rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumn("__c", F.sum("size").over(row)).join(parts, (F.col("__key") == F.col("__k")) & (F.col("__line") == F.col("__l")))
     d = stable(d.withColumn("__c", F.col("__c") + F.col("__before")).drop("__k", "__l", "__before", "__line"))
 
-    order = ["__v", "__key", "__h", id_col, "size", "__e"]
+    order = ["__v", "__key", "__h", id_col, "size", "text_hash", "__e"]
     copies = F.array(*[F.struct(F.lit(e).alias("__e"), ((F.lit(e) * F.col("source_size") + F.col("__c")).cast("double") / F.col("target")).alias("__v")) for e in range(MOST_COPIES)])
-    line = d.where("size > 0 AND target > 0").select("__key", "__h", id_col, "size", F.explode(copies).alias("__x"))
-    line = line.select("__key", "__h", id_col, "size", "__x.__e", "__x.__v").where("__v <= 4").withColumn("__b", F.floor(F.col("__v") * TIME_BUCKETS))
+    line = d.where("size > 0 AND target > 0").select("__key", "__h", id_col, "size", "text_hash", F.explode(copies).alias("__x"))
+    line = line.select("__key", "__h", id_col, "size", "text_hash", "__x.__e", "__x.__v").where("__v <= 4").withColumn("__b", F.floor(F.col("__v") * TIME_BUCKETS))
     budget = d.agg(F.sum("size").alias("budget"))
     times = line.groupBy("__b").agg(F.sum("size").alias("n"))
     run = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
@@ -97,13 +123,13 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
 
     def taken(e: int):
         v = (F.lit(e) * F.col("source_size") + F.col("__c")).cast("double") / F.col("target")
-        here = F.struct(v.alias("__v"), "__key", "__h", id_col, "size", F.lit(e).alias("__e"))
+        here = F.struct(v.alias("__v"), "__key", "__h", id_col, "size", "text_hash", F.lit(e).alias("__e"))
         early = F.floor(v * TIME_BUCKETS) < F.col("__at")
         same = (F.floor(v * TIME_BUCKETS) == F.col("__at")) & F.coalesce(here <= F.col("__cut"), F.lit(False))
         return (early | same).cast("long")
 
     counts = F.when((F.col("size") > 0) & (F.col("target") > 0), sum((taken(e) for e in range(1, MOST_COPIES)), taken(0))).otherwise(0)
-    d = d.withColumn("copies", F.coalesce(counts, F.lit(0)).cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
+    d = d.withColumn("copies", F.coalesce(counts, F.lit(0)).cast("long")).withColumn("size", F.col("one")).withColumn("taken", F.col("copies") * F.col("size"))
     return d.select(*own, *made)
 
 

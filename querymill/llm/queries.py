@@ -48,10 +48,10 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from querymill.llm.mixing import mix
+    from querymill.llm.mixing import mix_rows
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_rows(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
