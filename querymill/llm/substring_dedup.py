@@ -39,8 +39,9 @@ MIN_WORDS = 20
 PREFIXES = (1, 2, 4, 8, 20)
 #: Names that each length's counts are kept for; more as the corpus grows, up to MOST_NAMES.
 NAMES, MOST_NAMES = 4096, 1 << 20
-#: Suffixes in a group: no fewer than LEAST unless there are none, and MOST fill about 100 MB of a task.
-LEAST, MOST = 1 << 15, 1 << 22
+#: Suffixes in a group: MOST fill about 100 MB of a task, and fewer than LEAST would only multiply messages,
+#: of which there is one for each chunk and group.
+LEAST, MOST = 1 << 18, 1 << 22
 
 
 def prefix_names(h: np.ndarray, starts: np.ndarray, length: int, names: int) -> np.ndarray:
