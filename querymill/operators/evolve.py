@@ -44,8 +44,8 @@ def independent_codes(spark: SparkSession, n: int, marginals: DataFrame, schema:
     rows = spark.range(n).withColumnRenamed("id", "row_id").join(F.broadcast(table))
     codes = []
     for i, a in enumerate(schema.attributes):
-        u = rand.uniform(salt, "row_id", i)
-        codes.append(F.least(F.size(F.filter(F.col("cdfs")[i], lambda x, u=u: x <= u)), F.lit(a.cardinality - 1)))
+        rows = rows.withColumn(f"__u{i}", rand.uniform(salt, "row_id", i))
+        codes.append(F.least(F.size(F.expr(f"filter(cdfs[{i}], x -> x <= __u{i})")), F.lit(a.cardinality - 1)))
     return rows.select("row_id", F.array(*codes).alias("codes"))
 
 
@@ -110,11 +110,13 @@ def enter_codes(codes: str, terms: str, cards: Sequence[int], salt: str, *ids: C
     return F.transform(codes, redraw)
 
 
-def exit_codes(codes: str, terms: str, cards: Sequence[int], salt: str, *ids: Column | str, range_exit: str = "uniform") -> Column:
-    """Codes with one breakable term broken: EQ takes another value, the others one outside their interval.
+def with_exit(df: DataFrame, cards: Sequence[int], salt: str, *ids: str, range_exit: str = "uniform") -> DataFrame:
+    """``df`` (codes, terms, …) with ``left``: codes with one breakable term broken.
 
+    EQ takes another value, the others one outside their interval;
     ``range_exit="nearest"`` steps just outside a range.  If no term can be
-    broken, a random attribute changes.
+    broken, a random attribute changes.  What is drawn stands in columns of its
+    own, so the plan evaluates it once.
     """
     k = _cards(cards)
 
@@ -125,33 +127,35 @@ def exit_codes(codes: str, terms: str, cards: Sequence[int], salt: str, *ids: Co
         wide = (t["lo"] > 0) | (t["hi"] < top(t))
         return F.when(t["op"] == 0, top(t) > 0).when(t["op"] == 1, t["value"] < top(t)).when(t["op"] == 2, t["value"] > 0).otherwise(wide)
 
-    open_ = F.filter(terms, breakable)
-    pick = F.get(open_, (F.floor(rand.uniform(salt + "/term", *ids) * F.size(open_))).cast("int"))
-    last = top(pick)
-    other = rand.integer(0, last - 1, salt + "/value", *ids)
-    below, above = F.greatest(pick["lo"], F.lit(0)), F.greatest(last - pick["hi"], F.lit(0))
-    out = rand.integer(0, below + above - 1, salt + "/value", *ids)
-    outside = F.when(out < below, out).otherwise(pick["hi"] + 1 + out - below)
+    d = df.withColumn("__open", F.filter("terms", breakable)).withColumn("__u", rand.uniform(salt + "/term", *ids))
+    d = d.withColumn("__pick", F.get("__open", F.floor(F.col("__u") * F.size("__open")).cast("int"))).withColumn("__w", rand.uniform(salt + "/value", *ids))
+    pick = F.col("__pick")
+    d = d.withColumn("__last", top(pick))
+    last, below = F.col("__last"), F.greatest(pick["lo"], F.lit(0))
+    above = F.greatest(last - pick["hi"], F.lit(0))
+    # How many values lie outside the term, and which of them is drawn.
+    room = F.when(pick["op"] == 0, last).when(pick["op"] == 1, last - pick["value"]).when(pick["op"] == 2, pick["value"]).otherwise(below + above)
+    d = d.withColumn("__draw", F.floor(F.col("__w") * room).cast("int"))
+    draw = F.col("__draw")
+    outside = F.when(draw < below, draw).otherwise(pick["hi"] + 1 + draw - below)
     if range_exit == "nearest":
         outside = F.when(pick["lo"] > 0, pick["lo"] - 1).otherwise(pick["hi"] + 1)
-    new = (
-        F.when(pick["op"] == 0, other + (other >= pick["value"]).cast("int"))
-        .when(pick["op"] == 1, rand.integer(pick["value"] + 1, last, salt + "/value", *ids))
-        .when(pick["op"] == 2, rand.integer(0, pick["value"] - 1, salt + "/value", *ids))
-        .otherwise(outside)
-    )
-    broken = F.transform(codes, lambda c, i: F.when(i == pick["attr"], F.greatest(F.lit(0), F.least(new, last))).otherwise(c))
-    return F.when(pick.isNull(), mutated_codes(codes, cards, salt + "/random", *ids)).otherwise(broken)
+    new = F.when(pick["op"] == 0, draw + (draw >= pick["value"]).cast("int")).when(pick["op"] == 1, pick["value"] + 1 + draw).when(pick["op"] == 2, draw).otherwise(outside)
+    d = d.withColumn("__new", F.greatest(F.lit(0), F.least(new, last)))
+    d = with_mutation(d, cards, salt + "/random", *ids)
+    broken = F.expr("transform(codes, (c, i) -> if(i = __pick.attr, __new, c))")
+    return d.withColumn("left", F.when(pick.isNull(), F.col("mutated")).otherwise(broken)).drop("__open", "__u", "__pick", "__w", "__last", "__draw", "__new", "mutated")
 
 
-def mutated_codes(codes: str, cards: Sequence[int], salt: str, *ids: Column | str) -> Column:
-    """Codes with one attribute changed to another value of its domain, if any has more than one."""
+def with_mutation(df: DataFrame, cards: Sequence[int], salt: str, *ids: str) -> DataFrame:
+    """``df`` with ``mutated``: codes with one attribute changed to another value of its domain, if any has more than one."""
     free = [i for i, c in enumerate(cards) if c > 1]
     if not free:
-        return F.col(codes)
+        return df.withColumn("mutated", F.col("codes"))
     attr = F.get(F.array(*map(F.lit, free)), F.floor(rand.uniform(salt + "/attr", *ids) * len(free)).cast("int"))
-    draw = rand.integer(0, F.get(_cards(cards), attr) - 2, salt + "/value", *ids)
-    return F.transform(codes, lambda c, i: F.when(i == attr, draw + (draw >= c).cast("int")).otherwise(c))
+    d = df.withColumn("__attr", attr)
+    d = d.withColumn("__value", rand.integer(0, F.get(_cards(cards), F.col("__attr")) - 2, salt + "/value", *ids))
+    return d.withColumn("mutated", F.expr("transform(codes, (c, i) -> if(i = __attr, __value + int(__value >= c), c))")).drop("__attr", "__value")
 
 
 def edit_cost(old: str, new: str, schema: TableSchema, gamma: float = 0.1) -> Column:
@@ -184,14 +188,15 @@ def candidates(
     if not random_only:
         s = sample_sources(syn, active, per_target, salt + "/rows")
         enter = enter_codes("codes", "terms", cards, salt + "/enter", "qid", "row_id")
-        leave = exit_codes("codes", "terms", cards, salt + "/exit", "qid", "row_id", range_exit=range_exit)
-        new = F.when(F.col("repair_type") == ENTER, enter).otherwise(leave)
+        s = with_exit(s, cards, salt + "/exit", "qid", "row_id", range_exit=range_exit)
+        new = F.when(F.col("repair_type") == ENTER, enter).otherwise(F.col("left"))
         d = s.select("row_id", F.col("codes").alias("old"), new.alias("new"), F.col("qid").alias("target_qid"), "repair_type", "place").where("old <> new")
         d = d.join(F.broadcast(active.select(F.col("qid").alias("target_qid"), "priority")), "target_qid")
         d = d.orderBy(F.desc_nulls_last("priority"), *order).limit(total - n_random).drop("priority")
     draw = rand.uniform(salt + "/pick", "row_id")
     r = syn.orderBy(draw, "row_id").limit(total)
-    r = r.select("row_id", F.col("codes").alias("old"), mutated_codes("codes", cards, salt + "/mutate", "row_id").alias("new"), F.lit(-1).alias("target_qid"), F.lit(RANDOM).alias("repair_type"), draw.alias("place"))
+    r = with_mutation(r, cards, salt + "/mutate", "row_id")
+    r = r.select("row_id", F.col("codes").alias("old"), F.col("mutated").alias("new"), F.lit(-1).alias("target_qid"), F.lit(RANDOM).alias("repair_type"), draw.alias("place"))
     r = r.where("old <> new")
     every = r.withColumn("part", F.lit(1)) if random_only else d.withColumn("place", F.col("place").cast("double")).withColumn("part", F.lit(0)).unionByName(r.withColumn("part", F.lit(1)))
     # At most 2 * total rows, a parameter: their order may pass through one task.
