@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querymill.functions import rand
+from querymill.functions.lineage import written
 from querymill.operators.predicates import holds
 from querymill.operators.schema import NUMERICAL, TableSchema
 
@@ -95,19 +96,20 @@ def _cards(cards: Sequence[int]) -> Column:
     return F.array(*map(F.lit, cards))
 
 
-def enter_codes(codes: str, terms: str, cards: Sequence[int], salt: str, *ids: Column | str) -> Column:
-    """Codes changed so that every term holds: EQ takes the value, the others a draw from their interval."""
-    k = _cards(cards)
-
-    def redraw(c: Column, i: Column) -> Column:
-        t = F.get(F.filter(terms, lambda x: x["attr"] == i), F.lit(0))
-        top = F.get(k, i) - 1
-        lo = F.when(t["op"] == 1, F.lit(0)).when(t["op"] == 2, t["value"]).otherwise(t["lo"])
-        hi = F.when(t["op"] == 1, F.least(t["value"], top)).when(t["op"] == 2, top).otherwise(t["hi"])
-        new = F.when(t["op"] == 0, t["value"]).otherwise(rand.integer(lo, hi, salt, *ids, i))
-        return F.when(t.isNull(), c).otherwise(F.greatest(F.lit(0), F.least(new, top)))
+def with_enter(df: DataFrame, cards: Sequence[int], salt: str, *ids: str) -> DataFrame:
+    """``df`` (codes, terms, …) with ``entered``: codes changed so that every term holds.
 
-    return F.transform(codes, redraw)
+    EQ takes the value, the others a draw from their interval; a term that
+    already holds is drawn again.
+    """
+    d = df
+    for i, k in enumerate(cards):
+        d = d.withColumn(f"__t{i}", F.expr(f"get(filter(terms, t -> t.attr = {i}), 0)")).withColumn(f"__u{i}", rand.uniform(salt, *ids, i))
+        lo = f"case __t{i}.op when 1 then 0 when 2 then __t{i}.value else __t{i}.lo end"
+        hi = f"case __t{i}.op when 1 then least(__t{i}.value, {k - 1}) when 2 then {k - 1} else __t{i}.hi end"
+        d = d.withColumn(f"__lo{i}", F.expr(lo)).withColumn(f"__hi{i}", F.expr(hi))
+    new = [f"case when __t{i} is null then codes[{i}] when __t{i}.op = 0 then greatest(0, least(__t{i}.value, {k - 1})) else greatest(0, least(__lo{i} + int(floor(__u{i} * (__hi{i} - __lo{i} + 1))), {k - 1})) end" for i, k in enumerate(cards)]
+    return d.withColumn("entered", F.expr(f"array({', '.join(new)})")).drop(*[f"__{x}{i}" for i in range(len(cards)) for x in ("t", "u", "lo", "hi")])
 
 
 def with_exit(df: DataFrame, cards: Sequence[int], salt: str, *ids: str, range_exit: str = "uniform") -> DataFrame:
@@ -187,9 +189,10 @@ def candidates(
     order = ["target_qid", "place", "row_id"]
     if not random_only:
         s = sample_sources(syn, active, per_target, salt + "/rows")
-        enter = enter_codes("codes", "terms", cards, salt + "/enter", "qid", "row_id")
-        s = with_exit(s, cards, salt + "/exit", "qid", "row_id", range_exit=range_exit)
-        new = F.when(F.col("repair_type") == ENTER, enter).otherwise(F.col("left"))
+        # The drawn columns are written: the filter below would else be expanded into all that leads to them.
+        s = written(with_enter(s, cards, salt + "/enter", "qid", "row_id"))
+        s = written(with_exit(s, cards, salt + "/exit", "qid", "row_id", range_exit=range_exit))
+        new = F.when(F.col("repair_type") == ENTER, F.col("entered")).otherwise(F.col("left"))
         d = s.select("row_id", F.col("codes").alias("old"), new.alias("new"), F.col("qid").alias("target_qid"), "repair_type", "place").where("old <> new")
         d = d.join(F.broadcast(active.select(F.col("qid").alias("target_qid"), "priority")), "target_qid")
         d = d.orderBy(F.desc_nulls_last("priority"), *order).limit(total - n_random).drop("priority")

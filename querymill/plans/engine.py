@@ -18,6 +18,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querymill.functions.lineage import written as _written
 from querymill.operators import answer as ans
 from querymill.operators import catalogue as cat
 from querymill.operators import encode as enc
@@ -62,19 +63,6 @@ class EvolveResult:
     runtime: dict[str, Any] = field(default_factory=dict)
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Checkpointed in the shared folder, or in a temporary one where none is set, as in tests."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        place = context.getConf().get("spark.checkpoint.dir")
-        if not place:
-            import tempfile
-
-            place = tempfile.mkdtemp(prefix="querymill-")
-        context.setCheckpointDir(place)
-    return df.checkpoint(eager=True)
-
-
 def evolve(syn: DataFrame, queries: DataFrame, state: DataFrame, schema: TableSchema, config: EvolveConfig) -> EvolveResult:
     """Edit ``syn`` (row_id, codes) so that its answers approach the targets in ``state``."""
     d, series, idle = schema.d, [], 0

@@ -7,10 +7,10 @@ real one.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querymill.functions.lineage import written
 from querymill.operators import answer as ans
 from querymill.operators import encode as enc
 from querymill.operators import evolve as ev
@@ -37,14 +37,14 @@ def _world(spark: SparkSession, sf_dir: str) -> dict:
     raw = spark.read.parquet(f"{sf_dir}/orders.parquet")
     schema = enc.fit_schema(raw, COLUMNS, BINS, COLUMNS[2:], COLUMNS[:2])
     cards, d = schema.cardinalities, schema.d
-    real = enc.encode(raw, schema, "o_orderkey").persist(StorageLevel.MEMORY_AND_DISK)
+    real = written(enc.encode(raw, schema, "o_orderkey"))
     queries, _ = wl.build(spark, schema, wl.WorkloadConfig(seed=SEED, families=FAMILIES))
-    queries = queries.persist(StorageLevel.MEMORY_AND_DISK)
-    true = ans.answer(real, queries, cards).persist(StorageLevel.MEMORY_AND_DISK)
-    syn = _draw(spark, real, true, queries, schema).persist(StorageLevel.MEMORY_AND_DISK)
-    state = _state(ans.answer(_columns(syn, d), queries, cards), true).persist(StorageLevel.MEMORY_AND_DISK)
-    active = ev.active_queries(state, ACTIVE).join(queries, "qid").persist(StorageLevel.MEMORY_AND_DISK)
-    cands = _repaired(syn, active, schema).persist(StorageLevel.MEMORY_AND_DISK)
+    queries = written(queries)
+    true = written(ans.answer(real, queries, cards))
+    syn = written(_draw(spark, real, true, queries, schema))
+    state = written(_state(ans.answer(_columns(syn, d), queries, cards), true))
+    active = written(ev.active_queries(state, ACTIVE).join(queries, "qid"))
+    cands = written(_repaired(syn, active, schema))
     world = {"schema": schema, "real": real, "queries": queries, "true": true, "syn": syn, "state": state, "active": active, "cands": cands}
     _BUILT.clear()
     _BUILT[key] = world
@@ -69,9 +69,9 @@ def _state(answers: DataFrame, true: DataFrame) -> DataFrame:
 
 def _repaired(syn: DataFrame, active: DataFrame, schema: TableSchema) -> DataFrame:
     s = ev.sample_sources(syn, active, PER_QUERY, f"{SEED}/rows")
-    enter = ev.enter_codes("codes", "terms", schema.cardinalities, f"{SEED}/enter", "qid", "row_id")
-    s = ev.with_exit(s, schema.cardinalities, f"{SEED}/exit", "qid", "row_id")
-    new = F.when(F.col("repair_type") == ev.ENTER, enter).otherwise(F.col("left"))
+    s = written(ev.with_enter(s, schema.cardinalities, f"{SEED}/enter", "qid", "row_id"))
+    s = written(ev.with_exit(s, schema.cardinalities, f"{SEED}/exit", "qid", "row_id"))
+    new = F.when(F.col("repair_type") == ev.ENTER, F.col("entered")).otherwise(F.col("left"))
     c = s.select((F.col("qid") * 1000 + F.col("place")).cast("long").alias("cand_id"), "row_id", F.col("codes").alias("old"), new.alias("new"), F.col("qid").alias("target_qid"), "repair_type").where("old <> new")
     return c.withColumn("edit_cost", ev.edit_cost("old", "new", schema, GAMMA)).select("cand_id", "row_id", "old", "new", "target_qid", "edit_cost", "repair_type")
 
@@ -124,8 +124,8 @@ def enter_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K3, K5."""
     w = _world(spark, sf_dir)
     s = ev.sample_sources(w["syn"], w["active"], PER_QUERY, f"{SEED}/rows").where(F.col("repair_type") == ev.ENTER)
-    new = ev.enter_codes("codes", "terms", w["schema"].cardinalities, f"{SEED}/enter", "qid", "row_id")
-    return _spread(s.select("qid", "row_id", new.alias("new")), "new")
+    s = ev.with_enter(s, w["schema"].cardinalities, f"{SEED}/enter", "qid", "row_id")
+    return _spread(s.select("qid", "row_id", F.col("entered").alias("new")), "new")
 
 
 def exit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
