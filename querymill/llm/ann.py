@@ -42,6 +42,8 @@ EXACT = 40
 #: Reverse neighbours of a hub meet each other in slices of this size.
 SLICE = 128
 HASH_BITS = 62
+#: Rows of written tables in a partition, at least: of nodes and of queries with their beams.
+NODE_ROWS, QUERY_ROWS = 4096, 128
 SEED = 11
 
 LISTS = "node long, ids binary, sims binary"
@@ -85,6 +87,11 @@ def _lists(rows: list[tuple[int, bytes, bytes]]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.binary()))], names=["node", "ids", "sims"])
 
 
+def _gathered(df: DataFrame, rows: int) -> DataFrame:
+    """A written table with about ``rows`` rows in a partition or more, so that a small one is not read by hundreds of tasks."""
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
 def _block(df: DataFrame, column: str) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(4 * shuffle_partitions(df)))
 
@@ -257,7 +264,7 @@ def greedy_search(starts: DataFrame, around: DataFrame, beam: int = BEAM) -> Dat
             ids = [np.int64(x).tobytes() for x in b.column("node").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("q"), pa.array(ids, pa.binary()), pa.array([one] * n, pa.binary()), pa.array([b"\0"] * n, pa.binary())], names=["start", "q", "ids", "sims", "open"])
 
-    state = stable(starts.select("node", "q").mapInArrow(begin, schema))
+    state = _gathered(stable(starts.select("node", "q").mapInArrow(begin, schema)), QUERY_ROWS)
 
     def frontier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -302,8 +309,8 @@ def greedy_search(starts: DataFrame, around: DataFrame, beam: int = BEAM) -> Dat
         # The frontier goes to the table, which is kept by node and not shuffled again.
         ask = state.mapInArrow(frontier, "start long, node long, q binary, bar float")
         met = ask.join(around, "node").select("start", "bar", "q", "around", "qs").mapInArrow(measure, LISTS).withColumn("b", _block(state, "node"))
-        state = stable(state.withColumn("b", _block(state, "start")).groupBy("b").cogroup(met.groupBy("b")).applyInArrow(merge, schema))
-        if state.where(F.expr("position(X'00', open) = 0")).count() == state.count():
+        state = _gathered(stable(state.withColumn("b", _block(state, "start")).groupBy("b").cogroup(met.groupBy("b")).applyInArrow(merge, schema)), QUERY_ROWS)
+        if state.where(F.expr("position(X'00', open) > 0")).isEmpty():
             return state.select("start", "ids", "sims")
 
 
@@ -317,14 +324,14 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", degree: int = DEGREE, beam: int = BEAM, rounds: int = ROUNDS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by ``every``."""
     prepare(vectors.sparkSession)
-    rows = stable(valid_rows(vectors, id_col, vector_col))
-    nodes = stable(vector_nodes(rows, k + 1))
-    points = stable(rounded(nodes))
-    graph = stable(first_graph(points, degree))
+    rows = _gathered(stable(valid_rows(vectors, id_col, vector_col)), NODE_ROWS)
+    nodes = _gathered(stable(vector_nodes(rows, k + 1)), NODE_ROWS)
+    points = _gathered(stable(rounded(nodes)), NODE_ROWS)
+    graph = _gathered(stable(first_graph(points, degree)), NODE_ROWS)
     for _ in range(rounds):
-        graph = stable(descend(graph, points, degree))
+        graph = _gathered(stable(descend(graph, points, degree)), NODE_ROWS)
     asked = rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "v").join(nodes.select("v", "node"), "v").select("query_id", "node")
-    asked = stable(asked)
+    asked = _gathered(stable(asked), NODE_ROWS)
     starts = points.join(asked.select("node").distinct(), "node", "left_semi")
     around = search_table(graph, points, degree).repartition(shuffle_partitions(vectors), "node").persist(StorageLevel.DISK_ONLY)
     beams = greedy_search(starts, around, beam)
