@@ -222,14 +222,16 @@ class ByteGru:
 def training_rows(docs: DataFrame, learn: Column, text_col: str, lang_col: str, id_col: str) -> list:
     """The bounded sample: (language, stretch of text) pairs in a fixed order."""
     key = F.md5(F.concat(F.lit("lang:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    d = docs.where(learn & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    d = d.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), key.alias("key"))
-    # Spark limits each task's rows of a language before they are shuffled.
-    d = d.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("rank") <= TRAIN_DOCS)
+    # Documents are chosen by id and language alone; at most MOST_LANGS * TRAIN_DOCS short rows are broadcast to meet their texts.
+    c = docs.where(learn & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), key.alias("key"), F.col(id_col).alias("__id"))
+    c = c.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("rank") <= TRAIN_DOCS)
+    c = c.orderBy("rank", "lang", "key").limit(MOST_LANGS * TRAIN_DOCS)
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__doc"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("text"))
+    d = texts.join(F.broadcast(c), (F.col("__doc") == F.col("__id")) & (F.col("__lang") == F.col("lang")))
     span = F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0)) + 1
     place = F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), span.cast("long")) + 1
     d = d.select("lang", F.col("text").substr(place.cast("int"), F.lit(TRAIN_CHARS)).alias("text"), "key", "rank")
-    rows = d.orderBy("rank", "lang", "key").limit(MOST_LANGS * TRAIN_DOCS).collect()
+    rows = d.orderBy("rank", "lang", "key", "text").limit(MOST_LANGS * TRAIN_DOCS).collect()
     return [(r["lang"], r["text"]) for r in rows]
 
 
