@@ -61,6 +61,61 @@ def test_jaccard_classes_in_blocks(spark, docs, rows):
     assert [got[i] for i, _ in rows] == [c for _, c in plain.jaccard_components(rows)]
 
 
+def families(seed, n=60, size=40, most=7):
+    """Sets that each replace up to ``most`` elements of an earlier one: families, some linked by few pairs."""
+    r = np.random.default_rng(seed)
+    out = [np.unique(r.integers(0, 1 << 62, size).astype(np.uint64))]
+    while len(out) < n:
+        base = out[r.integers(max(0, len(out) - 20), len(out))].copy()
+        m = r.integers(1, most + 1)
+        base[r.choice(size, m, replace=False)] = r.integers(0, 1 << 62, m).astype(np.uint64)
+        out.append(np.unique(base))
+    return out
+
+
+def partition(n, links):
+    label = list(range(n))
+    for a, b in links:
+        x, y = label[a], label[b]
+        label = [x if v == y else v for v in label]
+    return {tuple(i for i in range(n) if label[i] == v) for v in set(label)}
+
+
+def plain_links(sets):
+    held = [set(s.tolist()) for s in sets]
+    return [(i, j) for i in range(len(held)) for j in range(i) if 100 * len(held[i] & held[j]) >= 80 * len(held[i] | held[j])]
+
+
+def wrong_regions(spark, regions, limit, pivots, depth):
+    """The regions in which region_links does not join the sets as all links do."""
+    key = {(c, i): f"{c:06d}{i:010d}".encode() for c, sets in regions.items() for i in range(len(sets))}
+    back = {k: ci for ci, k in key.items()}
+    data = [(str(c), bytearray(key[c, i]), len(s), bytearray(s.tobytes())) for c, sets in regions.items() for i, s in enumerate(sets)]
+    members = spark.createDataFrame(data, "cell string, key binary, size long, shingles binary")
+    found = {c: [] for c in regions}
+    for r in ngram_join.region_links(members, limit, pivots, depth).collect():
+        (c, i), (_, j) = back[bytes(r["a"])], back[bytes(r["b"])]
+        found[c].append((i, j))
+    return [c for c, sets in regions.items() if partition(len(sets), found[c]) != partition(len(sets), plain_links(sets))]
+
+
+def test_a_cell_with_more_visitors_than_members_at_home():
+    word = np.arange(200, dtype=np.uint64)
+    near = [np.delete(word[:41], i) for i in range(3)]  # at home, of the region's largest class
+    far = [np.delete(word[100:141], i) for i in range(5)]  # visitors
+    far.append(np.concatenate([word[:38], word[100:103]]))  # linked to those at home
+    home = np.array([True] * 3 + [False] * 6)
+    links = ngram_join.join_cell(near + far, ~home, home, np.where(home, 0, 1))
+    assert [sorted((i < 3, j < 3)) for i, j in links] == [[False, True]]
+    # In a block those at home are of several classes and none is taken; each visitor is to meet them all.
+    links = ngram_join.join_cell(near + far, ~home, home, np.array([0, 1, 2] + [3] * 6))
+    assert sorted(tuple(sorted(x)) for x in links) == [(0, 8), (1, 8), (2, 8)]
+
+
+def test_families_over_several_pivots(spark):
+    assert wrong_regions(spark, {c: families(c) for c in range(150)}, 700, 3, 1) == []
+
+
 def test_repeated_rows_share_one_answer(spark):
     d = spark.createDataFrame([(1, "a b c d e f", 9), (1, "a b c d e f", 9), (None, "a b c d e f", 8)], "doc_id long, text string, component_id long")
     got = ngram_join.jaccard_classes(d)
