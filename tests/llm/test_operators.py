@@ -116,6 +116,10 @@ def test_families_over_several_pivots(spark):
     assert wrong_regions(spark, {c: families(c) for c in range(150)}, 700, 3, 1) == []
 
 
+def test_visitors_of_a_cell_that_is_split_again(spark):
+    assert wrong_regions(spark, {140: families(140)}, 700, 3, 3) == []
+
+
 def test_repeated_rows_share_one_answer(spark):
     d = spark.createDataFrame([(1, "a b c d e f", 9), (1, "a b c d e f", 9), (None, "a b c d e f", 8)], "doc_id long, text string, component_id long")
     got = ngram_join.jaccard_classes(d)
