@@ -4,7 +4,8 @@ Equal vectors are one node with the smallest ids that hold it, so a vector that
 a third of all rows share is searched once.  The graph starts from orders of
 all nodes by the signs of random projections, cut into blocks of equal size
 that are joined inside; then neighbours of neighbours meet through joins on
-their common neighbour, and a node keeps its ``DEGREE`` nearest.  A query
+their common neighbour, and a node keeps its ``DEGREE`` nearest, in rounds until
+less than ``DELTA`` of the list entries change.  A query
 begins at its own node and opens the nearest unopened nodes of its beam until
 none is left.  Graph and search use vectors rounded to 8 bits; the best of the
 beam are then measured exactly, in double precision on the original vectors.
@@ -35,7 +36,8 @@ from querymill.llm.session import prepare, stable
 DEGREE = 32
 #: Random orders, their blocks, and the neighbours that one order gives a node.
 ORDERS, BLOCK, FROM_ORDER = 8, 512, 16
-ROUNDS = 1
+#: Rounds end when less than this share of the list entries is new, as usual for NN-descent.
+DELTA = 0.001
 BEAM = 200
 #: Of each beam, so many are measured exactly.
 EXACT = 40
@@ -232,6 +234,28 @@ def descend(graph: DataFrame, points: DataFrame, degree: int = DEGREE) -> DataFr
     return _merged(graph.select("node", "ids", "sims").union(nearer), degree)
 
 
+def changed(old: DataFrame, new: DataFrame) -> float:
+    """The share of the entries of ``new`` that ``old`` does not have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(np.frombuffer(was or b"", np.int64), np.frombuffer(ids, np.int64)) for was, ids in zip(b.column("was").to_pylist(), b.column("ids").to_pylist())]
+            fresh = [int((~np.isin(ids, was)).sum()) for was, ids in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(fresh, pa.int64()), pa.array([len(ids) for _, ids in rows], pa.int64())], names=["fresh", "n"])
+
+    met = new.select("node", "ids").join(old.select("node", F.col("ids").alias("was")), "node", "left")
+    r = met.select("was", "ids").mapInArrow(run, "fresh long, n long").agg(F.sum("fresh").alias("fresh"), F.sum("n").alias("n")).first()
+    return r["fresh"] / r["n"] if r["n"] else 0.0
+
+
+def settled(graph: DataFrame, points: DataFrame, degree: int = DEGREE, delta: float = DELTA) -> DataFrame:
+    """Rounds of descend until less than ``delta`` of the entries are new; lists only get nearer, so this ends."""
+    while True:
+        old, graph = graph, _gathered(stable(descend(graph, points, degree)), NODE_ROWS)
+        if changed(old, graph) < delta:
+            return graph
+
+
 def search_table(graph: DataFrame, points: DataFrame, degree: int = DEGREE) -> DataFrame:
     """(node, around, qs): a node's neighbours, forward and the nearest reverse ones, with their rounded vectors."""
     edges = _edges(graph)
@@ -321,15 +345,13 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", degree: int = DEGREE, beam: int = BEAM, rounds: int = ROUNDS) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", degree: int = DEGREE, beam: int = BEAM, delta: float = DELTA) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by ``every``."""
     prepare(vectors.sparkSession)
     rows = _gathered(stable(valid_rows(vectors, id_col, vector_col)), NODE_ROWS)
     nodes = _gathered(stable(vector_nodes(rows, k + 1)), NODE_ROWS)
     points = _gathered(stable(rounded(nodes)), NODE_ROWS)
-    graph = _gathered(stable(first_graph(points, degree)), NODE_ROWS)
-    for _ in range(rounds):
-        graph = _gathered(stable(descend(graph, points, degree)), NODE_ROWS)
+    graph = settled(_gathered(stable(first_graph(points, degree)), NODE_ROWS), points, degree, delta)
     asked = rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "v").join(nodes.select("v", "node"), "v").select("query_id", "node")
     asked = _gathered(stable(asked), NODE_ROWS)
     starts = points.join(asked.select("node").distinct(), "node", "left_semi")

@@ -207,6 +207,24 @@ def test_neighbours_equal_brute_force_on_a_small_table(spark):
     assert {g["query_id"] for g in got} == set(range(0, 300, 50))
 
 
+def test_graph_settles_from_a_poor_start(spark):
+    x = np.random.default_rng(5).normal(size=(1500, 8))
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node long, v array<double>")
+    points = ann.stable(ann.rounded(nodes))
+    ring = [(np.arange(i + 1, i + 11) % 1500).astype(np.int64) for i in range(1500)]
+    start = spark.createDataFrame([(i, bytearray(r.tobytes()), bytearray(np.full(10, -1, np.float32).tobytes())) for i, r in enumerate(ring)], ann.LISTS)
+    y = x / np.sqrt((x * x).sum(1, keepdims=True))
+    s = y @ y.T
+    np.fill_diagonal(s, -2)
+    want = np.argsort(-s, axis=1)[:, :5]
+
+    def recall(graph):
+        return np.mean([np.isin(want[r["node"]], np.frombuffer(r["ids"], np.int64)).mean() for r in graph.collect()])
+
+    assert recall(ann.descend(start, points, 10)) < 0.5
+    assert recall(ann.settled(start, points, 10)) > 0.95
+
+
 def test_maps_on_odd_texts(spark, docs):
     out = bpe.digests(docs, tokenizer("byte_bpe_50k.json"))
     for r, (_, t) in zip(out.orderBy("doc_id").collect(), docs.select("doc_id", "text").orderBy("doc_id").collect()):
