@@ -22,6 +22,8 @@ from querymill.operators.predicates import EQ, GE, LE, Term, conjunction
 
 #: Cells that a marginal may have; it bounds what is joined with the catalogue.
 MOST_CELLS = 1_000_000
+#: Rows are counted by all codes first where these have so few combinations that every task's rows hold them many times.
+FEW_CELLS = 10_000
 #: Sums in one aggregate of the fallback.
 CHUNK = 150
 #: Attributes of one block: a scan groups by the sets of two blocks, as grouping ids have 64 bits.
@@ -47,7 +49,7 @@ def cuboids(encoded: DataFrame, sets: Sequence[tuple[int, ...]], cardinalities:
     used = sorted({a for s in sets for a in s})
     cols = {a: F.col(f"c{a}") for a in used}
     rows = encoded.select(*cols.values(), F.lit(1).cast("long").alias("n"))
-    if prod(cardinalities[a] + 1 for a in used) <= MOST_CELLS:
+    if prod(cardinalities[a] + 1 for a in used) <= FEW_CELLS:
         rows = rows.groupBy(*cols.values()).agg(F.sum("n").alias("n"))
     grouped = rows.groupingSets([[cols[a] for a in s] for s in sets], *cols.values()).agg(F.grouping_id().alias("grouping"), F.sum("n").alias("n"))
     place = {grouping_of(s, used): (i, s) for i, s in enumerate(sets)}

@@ -150,7 +150,7 @@ def bin_medians(freq: Frequencies, edges: dict[int, list[float]]) -> dict[tuple[
     """The median of the numbers of each bin that has any: {(col, bin): median}."""
     if not edges:
         return {}
-    spans = freq.spans({c: bin_code(F.col("number"), e) for c, e in edges.items()})
+    spans = freq.spans({c: bin_code("number", e) for c, e in edges.items()})
     wanted: dict[int, list[float]] = {c: [] for c in edges}
     for c, _, first, upto in spans:
         wanted[c].append(first + (upto - first - 1) / 2)
@@ -159,13 +159,12 @@ def bin_medians(freq: Frequencies, edges: dict[int, list[float]]) -> dict[tuple[
     return {(c, b): next(place[c]) for c, b, _, _ in spans}
 
 
-def bin_code(x: Column, edges: Sequence[float], tree: bool = True) -> Column:
-    """The number of inner edges at or below x; x should be a plain column, as it is compared several times."""
+def bin_code(column: str, edges: Sequence[float], tree: bool = True) -> Column:
+    """The number of inner edges at or below a column."""
     inner = [float(e) for e in edges[1:-1]]
     if tree or not inner:
-        return steps(x, inner)
-    bound = F.transform(F.array(x), lambda v: F.size(F.filter(F.array(*map(F.lit, inner)), lambda e: e <= v)))
-    return F.when(x.isNotNull(), bound[0])
+        return steps(column, inner)
+    return F.expr(f"CASE WHEN {column} IS NOT NULL THEN transform(array({column}), v -> size(filter(array({', '.join(f'{e!r}D' for e in inner)}), e -> e <= v)))[0] END")
 
 
 def encode(df: DataFrame, schema: TableSchema, row_id: Column | str) -> DataFrame:
@@ -195,7 +194,7 @@ def encode(df: DataFrame, schema: TableSchema, row_id: Column | str) -> DataFram
             code = F.when(at > 0, at - 1)
         elif a.bin_edges is not None:
             spent += len(a.bin_edges)
-            code = bin_code(x, a.bin_edges, tree=spent <= TREE_EDGES)
+            code = bin_code(f"x{i}", a.bin_edges, tree=spent <= TREE_EDGES)
         else:
             code = F.lit(0)
         codes.append(F.coalesce(code, F.lit(a.missing_code)).cast("int").alias(f"c{i}"))

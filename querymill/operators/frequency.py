@@ -44,16 +44,16 @@ def text_of(c: Column, kind: T.DataType | None = None) -> Column:
     return (F.when(c == 0, F.lit(0.0)).otherwise(c) if isinstance(kind, T.DoubleType) else c).cast("string")
 
 
-def steps(x: Column, points: Sequence[float]) -> Column:
-    """The number of ascending ``points`` at or below x, as a search tree of comparisons; null for null."""
+def steps(column: str, points: Sequence[float]) -> Column:
+    """The number of ascending ``points`` at or below a column, as a search tree of comparisons; null for null."""
 
-    def tree(lo: int, hi: int) -> Column:
+    def tree(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        return F.when(x < points[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        return f"CASE WHEN {column} < {float(points[mid])!r}D THEN {tree(lo, mid)} ELSE {tree(mid + 1, hi)} END"
 
-    return F.when(x.isNotNull(), tree(0, len(points)))
+    return F.expr(f"CASE WHEN {column} IS NOT NULL THEN {tree(0, len(points))} END")
 
 
 @dataclass
@@ -125,7 +125,7 @@ class Frequencies:
         hit = F.lit(False)
         for c, ranks in wanted.items():
             points = [r + 0.5 for r in ranks]
-            hit = F.when(F.col("col") == c, steps(F.col("upto"), points) > steps(F.col("first"), points)).otherwise(hit)
+            hit = F.when(F.col("col") == c, steps("upto", points) > steps("first", points)).otherwise(hit)
         rows = self.ranked().where(hit).collect()
         out = {}
         for r in rows:

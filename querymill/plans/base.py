@@ -18,16 +18,23 @@ NUMERICAL_COLUMNS = ("l_discount", "l_tax", "l_quantity", "l_extendedprice")
 BINS = 12
 ROW_ID = "l_orderkey * 100 + l_linenumber"
 
-_SCHEMAS: dict[tuple[str, str], TableSchema] = {}
+_SCHEMAS: dict[tuple, TableSchema] = {}
 
 
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
 
 
+def listing(spark: SparkSession, path: str) -> tuple:
+    """The application, and the files of a table with their sizes and times, so that changed files are noticed."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return (spark.sparkContext.applicationId, *sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in files))
+
+
 def schema(spark: SparkSession, sf_dir: str) -> TableSchema:
-    """The schema of the line items; fitted once for each application and table."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The schema of the line items; a few hundred bytes, fitted once for each state of the table's files."""
+    key = listing(spark, f"{sf_dir}/lineitem.parquet")
     if key not in _SCHEMAS:
         _SCHEMAS[key] = enc.fit_schema(lineitem(spark, sf_dir), COLUMNS, BINS, NUMERICAL_COLUMNS, CATEGORICAL_COLUMNS)
     return _SCHEMAS[key]

@@ -26,12 +26,12 @@ FAMILIES = ("oneway", "twoway", "prefix")
 VARIANCE, SIGMA, LAMBDA, GAMMA = 4.0, 2.0, 0.01, 0.1
 ACTIVE, PER_QUERY, ACCEPT = 10, 20, 24
 
-_BUILT: dict[tuple[str, str], dict] = {}
+_BUILT: dict[tuple, dict] = {}
 
 
 def _world(spark: SparkSession, sf_dir: str) -> dict:
-    """Schema, tables, catalogue, state and candidates; made once for each application and table."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """Schema, tables, catalogue, state and candidates; made once for each state of the table's files."""
+    key = base.listing(spark, f"{sf_dir}/orders.parquet")
     if key in _BUILT:
         return _BUILT[key]
     raw = spark.read.parquet(f"{sf_dir}/orders.parquet")

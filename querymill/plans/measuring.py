@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querymill.functions.lineage import written
 from querymill.operators import answer as ans
 from querymill.operators import measure as ms
 from querymill.operators import privacy
@@ -36,6 +37,7 @@ def budget_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _answers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     schema, encoded = base.schema(spark, sf_dir), base.encoded(spark, sf_dir)
     queries, groups = wl.build(spark, schema, wl.WorkloadConfig(seed=SEED, families=FAMILIES))
+    queries, groups = written(queries), written(groups)
     total = base.lineitem(spark, sf_dir).count()
     return queries, groups, ans.answer(encoded, queries, schema.cardinalities), total
 

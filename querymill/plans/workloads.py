@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querymill.functions.lineage import written
 from querymill.operators import answer as ans
 from querymill.operators import catalogue as cat
 from querymill.operators import metrics
@@ -26,7 +27,7 @@ def _built(spark: SparkSession, sf_dir: str, *families: str) -> tuple[DataFrame,
 
 
 def _answered(spark: SparkSession, sf_dir: str, *families: str) -> DataFrame:
-    queries, _ = _built(spark, sf_dir, *families)
+    queries = written(_built(spark, sf_dir, *families)[0])
     found = ans.answer(base.encoded(spark, sf_dir), queries, base.schema(spark, sf_dir).cardinalities)
     return queries.join(found, "qid").select("family", "name", "answer")
 
