@@ -33,3 +33,16 @@ def stable(df: DataFrame) -> DataFrame:
     """Write to the shared checkpoint folder, so that later steps neither recompute nor lose it."""
     prepare(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def private(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of one's own that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        n = f"__{n}"
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out

@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import plain  # noqa: E402
 
 from querymill.llm import ann, bpe, language_id, mixing, ngram_join, quality_knn, quality_rules, substring_dedup, token_counts, url_filter  # noqa: E402
-from querymill.llm.queries import tokenizer  # noqa: E402
+from querymill.llm.queries import op10_jaccard_join, tokenizer  # noqa: E402
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 ODD_TEXTS = [None, "", "   ", "one", "a b c d e", "x" * 5000, "word " * 400]
@@ -46,21 +46,11 @@ def docs(spark, rows):
 
 def test_jaccard_classes(docs, rows):
     want = plain.jaccard_components(rows)
-    for limit in (ngram_join.CELL, 150):  # the second makes cells recurse
+    for limit in (ngram_join.CELL, 150):  # the second makes cells recurse between tasks
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_classes(docs, limit=limit, pivots=2).collect()}
         assert [got[i] for i, _ in rows] == want
 
 
-def test_jaccard_classes_in_blocks(spark, docs, rows):
-    ids = docs.select("doc_id", "text")
-    saved, ngram_join.DEPTH = ngram_join.DEPTH, 0
-    try:
-        got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_classes(ids, limit=200).collect()}
-    finally:
-        ngram_join.DEPTH = saved
-    assert [got[i] for i, _ in rows] == [c for _, c in plain.jaccard_components(rows)]
-
-
 def families(seed, n=60, size=40, most=7):
     """Sets that each replace up to ``most`` elements of an earlier one: families, some linked by few pairs."""
     r = np.random.default_rng(seed)
@@ -86,12 +76,15 @@ def plain_links(sets):
     return [(i, j) for i in range(len(held)) for j in range(i) if 100 * len(held[i] & held[j]) >= 80 * len(held[i] | held[j])]
 
 
+def region_members(spark, regions):
+    key = {(c, i): f"{c:06d}{i:010d}".encode() for c, sets in regions.items() for i in range(len(sets))}
+    data = [(str(c), bytearray(key[c, i]), len(s), bytearray(s.tobytes()), s.view(np.int64).tolist()) for c, sets in regions.items() for i, s in enumerate(sets)]
+    return {k: ci for ci, k in key.items()}, spark.createDataFrame(data, "cell string, key binary, size long, shingles binary, early array<long>")
+
+
 def wrong_regions(spark, regions, limit, pivots, depth):
     """The regions in which region_links does not join the sets as all links do."""
-    key = {(c, i): f"{c:06d}{i:010d}".encode() for c, sets in regions.items() for i in range(len(sets))}
-    back = {k: ci for ci, k in key.items()}
-    data = [(str(c), bytearray(key[c, i]), len(s), bytearray(s.tobytes())) for c, sets in regions.items() for i, s in enumerate(sets)]
-    members = spark.createDataFrame(data, "cell string, key binary, size long, shingles binary")
+    back, members = region_members(spark, regions)
     found = {c: [] for c in regions}
     for r in ngram_join.region_links(members, limit, pivots, depth).collect():
         (c, i), (_, j) = back[bytes(r["a"])], back[bytes(r["b"])]
@@ -99,27 +92,55 @@ def wrong_regions(spark, regions, limit, pivots, depth):
     return [c for c, sets in regions.items() if partition(len(sets), found[c]) != partition(len(sets), plain_links(sets))]
 
 
-def test_a_cell_with_more_visitors_than_members_at_home():
+@pytest.mark.parametrize("pivots, leaf", [(1, 2), (2, 3), (3, 4), (12, 4)])
+def test_regions_in_memory_recurse_exactly(pivots, leaf):
+    split = 0
+    for seed in range(60):
+        sets = families(seed, n=80, most=3 + seed % 9)
+        n = len(sets)
+        r = ngram_join.RegionJoin(sets, np.ones(n, bool), np.arange(n), pivots, leaf)
+        assert partition(n, [x[:2] for x in r.links]) == partition(n, plain_links(sets)), seed
+        assert all(j in dict.fromkeys(range(n)) and (max(i, j), min(i, j)) in set(plain_links(sets)) for i, j, _ in r.links)
+        split += sum(p for *_, p in r.links)
+    assert split
+
+
+def test_visitors_meet_only_members_at_home():
     word = np.arange(200, dtype=np.uint64)
     near = [np.delete(word[:41], i) for i in range(3)]  # at home, of the region's largest class
     far = [np.delete(word[100:141], i) for i in range(5)]  # visitors
     far.append(np.concatenate([word[:38], word[100:103]]))  # linked to those at home
     home = np.array([True] * 3 + [False] * 6)
-    links = ngram_join.join_cell(near + far, ~home, home, np.where(home, 0, 1))
-    assert [sorted((i < 3, j < 3)) for i, j in links] == [[False, True]]
-    # In a block those at home are of several classes and none is taken; each visitor is to meet them all.
-    links = ngram_join.join_cell(near + far, ~home, home, np.array([0, 1, 2] + [3] * 6))
-    assert sorted(tuple(sorted(x)) for x in links) == [(0, 8), (1, 8), (2, 8)]
+    for pivots in (1, 2, 12):
+        links = ngram_join.RegionJoin(near + far, home, np.where(home, 0, 1), pivots).links
+        assert [sorted((i < 3, j < 3)) for i, j, _ in links] == [[False, True]]
+        links = ngram_join.RegionJoin(near + far, home, np.array([0, 1, 2] + [3] * 6), pivots).links
+        assert partition(9, [x[:2] for x in links] + [(3, i) for i in range(4, 9)]) == {tuple(range(9))}
 
 
 def test_families_over_several_pivots(spark):
-    assert wrong_regions(spark, {c: families(c) for c in range(150)}, 700, 3, 1) == []
+    assert wrong_regions(spark, {c: families(c) for c in range(40)}, 700, 3, 1) == []
 
 
 def test_visitors_of_a_cell_that_is_split_again(spark):
     assert wrong_regions(spark, {140: families(140)}, 700, 3, 3) == []
 
 
+def test_cells_that_stay_large_are_split_by_early_shingles(spark):
+    assert wrong_regions(spark, {c: families(c, n=30, size=20, most=3) for c in range(4)}, 90, 2, 0) == []
+
+
+def test_classes_of_whole_documents_through_pivots(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [(r["doc_id"], r["text"]) for r in d.collect()]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in op10_jaccard_join(spark, "/root/testdata/sf0.01").collect()}
+    assert [got[i] for i, _ in rows] == plain.jaccard_components(rows)
+    n = ngram_join._Names("doc_id", "text")
+    nodes = ngram_join._nodes(d.withColumn("__text", F.xxhash64("text")), n)
+    links = ngram_join.region_links(ngram_join.region_members(d, nodes, n)).collect()
+    assert sum(r["by_pivot"] for r in links) > 0.5 * len(links) > 0
+
+
 def test_repeated_rows_share_one_answer(spark):
     d = spark.createDataFrame([(1, "a b c d e f", 9), (1, "a b c d e f", 9), (None, "a b c d e f", 8)], "doc_id long, text string, component_id long")
     got = ngram_join.jaccard_classes(d)
