@@ -25,10 +25,10 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def chunked(docs: DataFrame, id_col: str) -> DataFrame:
+def chunked(docs: DataFrame, id_col: str, name: str = CHUNK) -> DataFrame:
     """``docs`` with its chunk: four for each shuffle partition, so that one fits a task's memory several times."""
     n = 4 * shuffle_partitions(docs)
-    return docs.withColumn(CHUNK, F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n)).cast("int"))
+    return docs.withColumn(name, F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n)).cast("int"))
 
 
 def in_order(table: pa.Table, id_col: str, text_col: str) -> tuple[pa.Table, list[bytes], np.ndarray]:

@@ -20,7 +20,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 # One random 64-bit value per byte; the seed is part of the fingerprint format.
 _BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_WORD_BASE = U64(0x9E3779B97F4A7C15)
+_BYTE_2 = np.random.default_rng(20240230).integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
+_WORD_BASE, _WORD_BASE_2 = U64(0x9E3779B97F4A7C15), U64(0xD6E8FEB86659FD93)
 _WINDOW_BASE = U64(0xC2B2AE3D27D4EB4F)
 _WINDOW_INVERSE = U64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
 
@@ -87,18 +88,18 @@ def words(texts: Sequence[bytes], lower: bool = False) -> Words:
     return Words(data, starts, ends, np.searchsorted(starts, bounds), bounds)
 
 
-def word_hashes(w: Words) -> np.ndarray:
-    """A 64-bit fingerprint of each word, the same in every process."""
+def word_hashes(w: Words, second: bool = False) -> np.ndarray:
+    """A 64-bit fingerprint of each word, the same in every process; there is a second, independent one."""
     if not len(w.starts):
         return np.zeros(0, dtype=np.uint64)
     lengths = w.ends - w.starts
-    table = powers(_WORD_BASE, int(lengths.max()) + 1)
+    table = powers(_WORD_BASE_2 if second else _WORD_BASE, int(lengths.max()) + 1)
     place = np.arange(len(w.data), dtype=np.int64)
     place[: w.starts[0]] = 0
     spans = np.diff(np.append(w.starts, len(w.data)))
     place[w.starts[0] :] -= np.repeat(w.starts, spans)
     np.minimum(place, len(table) - 1, out=place)
-    value = _BYTE[w.data]
+    value = (_BYTE_2 if second else _BYTE)[w.data]
     value *= table[place]
     value[_SPACE[w.data]] = 0
     return mix(np.add.reduceat(value, w.starts) + lengths.astype(np.uint64))
