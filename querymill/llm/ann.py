@@ -1,23 +1,26 @@
 """Approximate nearest neighbours by cosine: an NN-descent graph and greedy search.
 
 Equal vectors are one node with the smallest ids that hold it, so a vector that
-a third of all rows share is searched once.  The graph starts from orders of
-all nodes by the signs of random projections, cut into blocks of equal size
-that are joined inside; then neighbours of neighbours meet through joins on
-their common neighbour, and a node keeps its ``DEGREE`` nearest, in rounds until
-less than ``DELTA`` of the list entries change.  A query
-begins at its own node and opens the nearest unopened nodes of its beam until
-none is left.  Graph and search use vectors rounded to 8 bits; the best of the
-beam are then measured exactly, in double precision on the original vectors.
+a third of all rows share is searched once.  The graph starts from few rough
+orders of all nodes by the signs of random projections, cut into small blocks
+that are joined inside.  Then it descends: in each round the neighbours of a
+node, forward and reverse, meet each other through joins on the node; only
+pairs with an entry that is new since the last round are measured, and every
+node keeps its ``DEGREE`` nearest.  Rounds end when less than ``DELTA`` of the
+list entries are new.  A query begins at its own node and opens the nearest
+unopened nodes of its beam until none is left.  Graph and search use vectors
+rounded to 16 bits; all of the beam is then measured exactly, in double
+precision on the original vectors.
 
 Defined cases: vectors that are null, empty, zero, or hold a null or non-finite
 component take no part, nor do those whose length is not the most frequent one
-(the smaller of equals); fewer candidates than asked give fewer rows; ties go to
+(the smaller of equals), as a cosine needs equal lengths; fewer candidates than asked give fewer rows; ties go to
 the smaller id; repeated rows of one id and vector count as one; an empty table
-gives an empty result; further columns are ignored.
+gives an empty result; further columns are ignored; very long vectors are as any.
 
-What bounds it: DEGREE forward and as many reverse neighbours of a node, and a
-beam of BEAM nodes.  Recall is measured in the tests and stated in the README.
+What bounds it: DEGREE forward and as many reverse neighbours of a node, chosen
+before vectors are moved, and a beam of BEAM nodes.  So the result is
+approximate: recall is measured in the tests and stated in the README.
 """
 
 from __future__ import annotations
@@ -34,15 +37,13 @@ from querymill.llm.chunks import shuffle_partitions
 from querymill.llm.session import prepare, stable
 
 DEGREE = 32
-#: Random orders, their blocks, and the neighbours that one order gives a node.
-ORDERS, BLOCK, FROM_ORDER = 8, 512, 16
-#: Rounds end when less than this share of the list entries is new, as usual for NN-descent.
-DELTA = 0.001
+#: Random orders of the start, their blocks, and the neighbours that one order gives a node.
+ORDERS, BLOCK, FROM_ORDER = 2, 64, 16
+#: Rounds end when less than this share of the list entries is new.
+DELTA = 0.002
 BEAM = 200
-#: Of each beam, so many are measured exactly.
-EXACT = 40
-#: Reverse neighbours of a hub meet each other in slices of this size.
-SLICE = 128
+#: Reverse neighbours that a node takes in a round, of the new ones and of the others.
+REVERSE = 16
 HASH_BITS = 62
 #: Rows of written tables in a partition, at least: of nodes and of queries with their beams.
 NODE_ROWS, QUERY_ROWS = 4096, 128
@@ -54,7 +55,7 @@ LISTS = "node long, ids binary, sims binary"
 def _floats(column) -> np.ndarray:
     """Rounded vectors (binary column) as float rows of unit length, nearly."""
     raw = column.to_pylist()
-    x = np.frombuffer(b"".join(raw), np.int8).reshape(len(raw), -1).astype(np.float32)
+    x = np.frombuffer(b"".join(raw), np.int16).reshape(len(raw), -1).astype(np.float32)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -118,12 +119,12 @@ def vector_nodes(rows: DataFrame, members: int) -> DataFrame:
 
 
 def rounded(nodes: DataFrame) -> DataFrame:
-    """(node, q): vectors as signed bytes, scaled by their largest component."""
+    """(node, q): vectors as 16-bit numbers, scaled by their largest component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.array(b.column("v").to_pylist(), np.float64).reshape(b.num_rows, -1)
-            q = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 127).astype(np.int8) if b.num_rows else x
+            q = np.rint(x / np.abs(x).max(axis=1, keepdims=True) * 32767).astype(np.int16) if b.num_rows else x
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([r.tobytes() for r in q], pa.binary())], names=["node", "q"])
 
     return nodes.select("node", "v").mapInArrow(run, "node long, q binary")
@@ -196,64 +197,92 @@ def _edges(graph: DataFrame) -> DataFrame:
     return graph.mapInArrow(run, "node long, other long, sim float")
 
 
-def descend(graph: DataFrame, points: DataFrame, degree: int = DEGREE) -> DataFrame:
-    """One round: the neighbours of each node, both ways, meet each other; lists take what is nearer."""
-    edges = _edges(graph)
+GRAPH = "node long, ids binary, sims binary, fresh binary"
+
+
+def _flagged(lists: DataFrame) -> DataFrame:
+    """Lists whose entries are all new."""
+    return lists.select("node", "ids", "sims", F.unhex(F.repeat(F.lit("01"), (F.length("ids") / 8).cast("int"))).alias("fresh"))
+
+
+def descend(graph: DataFrame, points: DataFrame, degree: int = DEGREE, turn: int = 0) -> DataFrame:
+    """One round: the neighbours of each node, both ways, meet each other if one of the two is new; lists take what is nearer.
+
+    The result's new entries are those that this round has found.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, ids, sims = _triples(*(b.column(c).to_pylist() for c in ("node", "ids", "sims")))
+            fresh = np.frombuffer(b"".join(b.column("fresh").to_pylist()), np.uint8).astype(bool)
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(ids), pa.array(sims), pa.array(fresh)], names=["node", "other", "sim", "fresh"])
+
+    edges = graph.mapInArrow(spread, "node long, other long, sim float, fresh boolean")
     last = edges.groupBy("node").agg(F.min("sim").alias("bar"), F.count(F.lit(1)).alias("n"))
     bars = points.join(last, "node", "left").select(F.col("node").alias("other"), "q", F.when(F.col("n") >= degree, F.col("bar")).otherwise(-2.0).cast("float").alias("bar"))
-    ways = edges.select("node", "other", F.lit(True).alias("own")).union(edges.select(F.col("other").alias("node"), F.col("node").alias("other"), F.lit(False)))
-    ways = ways.groupBy("node", "other").agg(F.max("own").alias("own"))
+    # Slim rows first: a hub's reverse neighbours are cut to a random few before any vector is moved.
+    back = edges.select(F.col("other").alias("node"), F.col("node").alias("other"), "fresh")
+    rank = F.row_number().over(Window.partitionBy("node", "fresh").orderBy(F.xxhash64("other", F.lit(turn)), "other"))
+    back = back.withColumn("r", rank).where(F.col("r") <= REVERSE).drop("r")
+    ways = edges.select("node", "other", "fresh").union(back).groupBy("node", "other").agg(F.max("fresh").alias("fresh"))
+    ways = ways.withColumn("moves", F.max("fresh").over(Window.partitionBy("node"))).where("moves").drop("moves")
     met = ways.join(bars, "other").withColumn("b", _block(graph, "node"))
 
     def run(table: pa.Table) -> pa.Table:
         node, other, bar = (table.column(c).to_numpy() for c in ("node", "other", "bar"))
-        own = np.array(table.column("own").to_pylist(), bool)
+        fresh = np.array(table.column("fresh").to_pylist(), bool)
         x = _floats(table.column("q"))
-        order = np.lexsort((other, ~own, node))
+        order = np.lexsort((other, node))
         at = np.concatenate([[0], np.flatnonzero(node[order][1:] != node[order][:-1]) + 1, [len(order)]])
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def meet(a: np.ndarray, c: np.ndarray) -> None:
-            s = x[a] @ x[c].T
-            i, j = np.nonzero((s > bar[a][:, None]) & (other[a][:, None] != other[c][None, :]))
-            found.append((other[a][i], other[c][j], s[i, j]))
-
         for lo, hi in zip(at, at[1:]):
             rows = order[lo:hi]
-            mine, back = rows[own[rows]], rows[~own[rows]]
-            meet(mine, rows)
-            for i in range(0, len(back), SLICE):
-                part = back[i : i + SLICE]
-                meet(part, mine)
-                meet(part, part)
+            new = rows[fresh[rows]]
+            s = x[new] @ x[rows].T
+            unlike = other[new][:, None] != other[rows][None, :]
+            i, j = np.nonzero((s > bar[new][:, None]) & unlike)
+            found.append((other[new][i], other[rows][j], s[i, j]))
+            i, j = np.nonzero((s > bar[rows][None, :]) & unlike)
+            found.append((other[rows][j], other[new][i], s[i, j]))
         if not found:
             return _lists([])
         return _lists(_packed(*_best(*(np.concatenate(c) for c in zip(*found)), degree)))
 
     nearer = met.groupBy("b").applyInArrow(run, LISTS)
-    return _merged(graph.select("node", "ids", "sims").union(nearer), degree)
-
-
-def changed(old: DataFrame, new: DataFrame) -> float:
-    """The share of the entries of ``new`` that ``old`` does not have."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(np.frombuffer(was or b"", np.int64), np.frombuffer(ids, np.int64)) for was, ids in zip(b.column("was").to_pylist(), b.column("ids").to_pylist())]
-            fresh = [int((~np.isin(ids, was)).sum()) for was, ids in rows]
-            yield pa.RecordBatch.from_arrays([pa.array(fresh, pa.int64()), pa.array([len(ids) for _, ids in rows], pa.int64())], names=["fresh", "n"])
-
-    met = new.select("node", "ids").join(old.select("node", F.col("ids").alias("was")), "node", "left")
-    r = met.select("was", "ids").mapInArrow(run, "fresh long, n long").agg(F.sum("fresh").alias("fresh"), F.sum("n").alias("n")).first()
-    return r["fresh"] / r["n"] if r["n"] else 0.0
 
-
-def settled(graph: DataFrame, points: DataFrame, degree: int = DEGREE, delta: float = DELTA) -> DataFrame:
+    def merge(table: pa.Table) -> pa.Table:
+        node, ids, sims = (table.column(c).to_pylist() for c in ("node", "ids", "sims"))
+        own, other, sim = _triples(node, ids, sims)
+        fresh = np.repeat(np.array(table.column("found").to_pylist(), bool), [len(x) // 8 for x in ids])
+        # An entry that the list has already is not new.
+        order = np.lexsort((fresh, other, own))
+        own, other, sim, fresh = own[order], other[order], sim[order], fresh[order]
+        keep = np.ones(len(own), bool)
+        keep[1:] = (own[1:] != own[:-1]) | (other[1:] != other[:-1])
+        own, other, sim, fresh = own[keep], other[keep], sim[keep], fresh[keep]
+        order = np.lexsort((other, -sim, own))
+        own, other, sim, fresh = own[order], other[order], sim[order], fresh[order]
+        keep = np.arange(len(own)) - np.searchsorted(own, own) < degree
+        own, other, sim, fresh = own[keep], other[keep], sim[keep], fresh[keep]
+        at = np.concatenate([[0], np.flatnonzero(own[1:] != own[:-1]) + 1, [len(own)]]) if len(own) else [0]
+        flags = [fresh[a:b].astype(np.uint8).tobytes() for a, b in zip(at, at[1:])]
+        return _lists(_packed(own, other, sim)).append_column("fresh", pa.array(flags, pa.binary()))
+
+    both = graph.select("node", "ids", "sims", F.lit(False).alias("found")).union(nearer.withColumn("found", F.lit(True)))
+    return both.withColumn("b", _block(graph, "node")).groupBy("b").applyInArrow(merge, GRAPH)
+
+
+def settled(graph: DataFrame, points: DataFrame, degree: int = DEGREE, delta: float = DELTA, rounds: int | None = None) -> DataFrame:
     """Rounds of descend until less than ``delta`` of the entries are new; lists only get nearer, so this ends."""
-    while True:
-        old, graph = graph, _gathered(stable(descend(graph, points, degree)), NODE_ROWS)
-        if changed(old, graph) < delta:
-            return graph
+    graph, turn = _flagged(graph), 0
+    while rounds is None or turn < rounds:
+        graph = _gathered(stable(descend(graph, points, degree, turn)), NODE_ROWS)
+        turn += 1
+        new = F.length(F.regexp_replace(F.hex("fresh"), "00", "")) / 2
+        r = graph.agg(F.sum(new).alias("fresh"), F.sum(F.length("ids") / 8).alias("n")).first()
+        if not r["n"] or r["fresh"] < delta * r["n"]:
+            break
+    return graph.select("node", "ids", "sims")
 
 
 def search_table(graph: DataFrame, points: DataFrame, degree: int = DEGREE) -> DataFrame:
@@ -308,7 +337,7 @@ def greedy_search(starts: DataFrame, around: DataFrame, beam: int = BEAM) -> Dat
             owner, ids, sims = [], [], []
             for i, (start, bar, near, qs) in enumerate(zip(*(b.column(c).to_pylist() for c in ("start", "bar", "around", "qs")))):
                 near = np.frombuffer(near, np.int64)
-                y = np.frombuffer(qs, np.int8).reshape(len(near), -1).astype(np.float32)
+                y = np.frombuffer(qs, np.int16).reshape(len(near), -1).astype(np.float32)
                 s = (y @ x[i]) / np.sqrt((y * y).sum(axis=1))
                 ok = s > bar
                 owner.append(np.full(int(ok.sum()), start, np.int64))
@@ -345,25 +374,25 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", degree: int = DEGREE, beam: int = BEAM, delta: float = DELTA) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", degree: int = DEGREE, beam: int = BEAM, delta: float = DELTA, rounds: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row whose id is divisible by ``every``."""
     prepare(vectors.sparkSession)
     rows = _gathered(stable(valid_rows(vectors, id_col, vector_col)), NODE_ROWS)
     nodes = _gathered(stable(vector_nodes(rows, k + 1)), NODE_ROWS)
     points = _gathered(stable(rounded(nodes)), NODE_ROWS)
-    graph = settled(_gathered(stable(first_graph(points, degree)), NODE_ROWS), points, degree, delta)
+    graph = settled(_gathered(stable(first_graph(points, degree)), NODE_ROWS), points, degree, delta, rounds)
     asked = rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "v").join(nodes.select("v", "node"), "v").select("query_id", "node")
     asked = _gathered(stable(asked), NODE_ROWS)
     starts = points.join(asked.select("node").distinct(), "node", "left_semi")
     around = search_table(graph, points, degree).repartition(shuffle_partitions(vectors), "node").persist(StorageLevel.DISK_ONLY)
     beams = greedy_search(starts, around, beam)
 
-    def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own, ids, _ = _triples(b.column("start").to_pylist(), [x[: 8 * EXACT] for x in b.column("ids").to_pylist()], [x[: 4 * EXACT] for x in b.column("sims").to_pylist()])
+            own, ids, _ = _triples(*(b.column(c).to_pylist() for c in ("start", "ids", "sims")))
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(ids)], names=["start", "node"])
 
-    pairs = beams.mapInArrow(leading, "start long, node long")
+    pairs = beams.mapInArrow(members, "start long, node long")
     a = nodes.select(F.col("node").alias("start"), F.col("v").alias("a"))
     scored = pairs.join(nodes, "node").join(a, "start").select("start", F.explode("members").alias("vec_id"), cosine(F.col("a"), F.col("v")).alias("score"))
     order = [F.desc("score"), F.asc("vec_id")]

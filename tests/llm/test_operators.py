@@ -276,10 +276,30 @@ def test_graph_settles_from_a_poor_start(spark):
     def recall(graph):
         return np.mean([np.isin(want[r["node"]], np.frombuffer(r["ids"], np.int64)).mean() for r in graph.collect()])
 
-    assert recall(ann.descend(start, points, 10)) < 0.5
+    assert recall(ann.settled(start, points, 10, rounds=1)) < 0.5
     assert recall(ann.settled(start, points, 10)) > 0.95
 
 
+def test_recall_comes_from_the_descent_on_many_blocks(spark):
+    x = np.random.default_rng(6).normal(size=(20_000, 24)).astype(np.float32)
+    d = ann.stable(spark.createDataFrame(enumerate(x.tolist()), "vec_id long, embedding array<float>"))
+    u = x.astype(np.float64) / np.sqrt((x.astype(np.float64) ** 2).sum(1, keepdims=True))
+
+    def recall(**how):
+        got: dict[int, set[int]] = {}
+        for r in ann.nearest(d, every=200, **how).collect():
+            got.setdefault(r["query_id"], set()).add(r["vec_id"])
+        hits = []
+        for q in range(0, len(u), 200):
+            s = u @ u[q]
+            s[q] = -9
+            hits.append(len(got[q] & set(np.argsort(-s)[:5].tolist())) / 5)
+        return np.mean(hits)
+
+    assert recall(rounds=0, beam=40) + 0.1 < recall(beam=40)
+    assert recall() >= 0.9
+
+
 def test_maps_on_odd_texts(spark, docs):
     out = bpe.digests(docs, tokenizer("byte_bpe_50k.json"))
     for r, (_, t) in zip(out.orderBy("doc_id").collect(), docs.select("doc_id", "text").orderBy("doc_id").collect()):
