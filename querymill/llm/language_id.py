@@ -1,17 +1,20 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of each stretch between white space (cut after
-``SEGMENT`` bytes), in both directions, and labels every byte; a document's
-probabilities are the mean over all its bytes.  Equal stretches are
-run once by a worker.  It is trained in numpy by backpropagation through time, on a bounded
-sample: at most ``TRAIN_DOCS`` documents of a language, ``TRAIN_CHARS``
-characters of each, from a place that the id decides.
+The network reads the bytes of a document in both directions, labels every
+byte, and a document's probabilities are the mean over all its bytes.  State is
+carried through the text: it is read in windows of ``SPAN`` bytes that overlap
+by ``MARGIN`` bytes on either side, so that each counted byte has its neighbours
+in both directions, across words, and only the ends of a document are cold.
+It is trained in numpy by backpropagation through time on a bounded sample of
+labelled rows, whole texts: at most ``TRAIN_DOCS`` documents of a language and
+about ``TRAIN_ROWS`` in all.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 rows without a language are predicted but never learned from; if there is
-nothing to learn from every document is ``und``; an empty table gives an empty
-result; repeated rows are labelled alike; further columns are kept, and those
-named like a result column are replaced.
+nothing to learn from every document is ``und``; of equally likely languages
+the first by name is taken; a very long text is read whole, some windows at a
+time; an empty table gives an empty result; repeated rows are labelled alike;
+further columns are kept, and those named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -26,18 +29,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from querymill.llm import text as tx
-from querymill.llm.session import prepare
-
-SEGMENT = 24
-HIDDEN = 12
-TRAIN_DOCS = 300
-TRAIN_CHARS = 1500
-#: Languages that can be learned, the most frequent first.
-MOST_LANGS = 200
-STEPS, BATCH, RATE = 500, 512, 0.01
+from querymill.llm.session import prepare, private
+
+SPAN, MARGIN = 480, 16
+HIDDEN = 8
+#: Rows that the network is fitted on: of a language, and in all.
+TRAIN_DOCS, TRAIN_ROWS = 300, 20_000
+#: Bytes of a training window, windows of a step, steps.
+TRAIN_SPAN, BATCH, STEPS, RATE = 48, 160, 300, 0.015
 SEED = 17
-#: Stretches whose label sums a worker keeps.
-KEPT = 1_000_000
+#: Windows that are run at once.
+ROWS = 2048
 UNKNOWN = "und"
 
 
@@ -46,34 +48,32 @@ def held_out(id_col: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
 
 
 @dataclass
-class Stretches:
-    """Distinct stretches of a block: hashes (ascending), padded bytes and lengths; the stretch of each occurrence, and its place."""
+class ByteWindows:
+    """Windows of texts: padded bytes and lengths, the document, and the counted part [lo, hi) of each."""
 
-    key: np.ndarray
     data: np.ndarray
     n: np.ndarray
-    inverse: np.ndarray
-    cut: tx.Words
-
-
-def segments(texts: list[bytes]) -> Stretches:
-    w = tx.words(texts)
-    length = w.ends - w.starts
-    pieces = -(-length // SEGMENT)
-    first = np.repeat(np.cumsum(pieces) - pieces, pieces)
-    starts = np.repeat(w.starts, pieces) + (np.arange(len(first)) - first) * SEGMENT
-    ends = np.minimum(starts + SEGMENT, np.repeat(w.ends, pieces))
-    at = np.append(np.cumsum(pieces) - pieces, len(starts))
-    cut = tx.Words(w.data, starts, ends, at[w.first], w.bounds)
-    key, index, inverse = np.unique(tx.word_hashes(cut), return_index=True, return_inverse=True)
-    n = (ends - starts)[index]
-    place = starts[index][:, None] + np.arange(SEGMENT)
-    data = w.data[np.minimum(place, len(w.data) - 1)]
-    data[np.arange(SEGMENT) >= n[:, None]] = 0
-    return Stretches(key, data, n, inverse.reshape(-1), cut)
-
-
-def _tanh_gate(x: np.ndarray) -> np.ndarray:
+    doc: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+
+
+def byte_windows(texts: list[bytes], span: int = SPAN, margin: int = MARGIN) -> ByteWindows:
+    every = np.frombuffer(b"".join(texts) + b"\0", np.uint8)
+    size = np.array([len(t) for t in texts], np.int64)
+    pieces = -(-size // span)
+    doc = np.repeat(np.arange(len(texts)), pieces)
+    at = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * span
+    start, end = np.maximum(at - margin, 0), np.minimum(at + span + margin, size[doc])
+    n = end - start
+    wide = int(n.max()) if len(n) else 0
+    place = ((np.cumsum(size) - size)[doc] + start)[:, None] + np.arange(wide)
+    data = every[np.minimum(place, len(every) - 1)]
+    data[np.arange(wide) >= n[:, None]] = 0
+    return ByteWindows(data, n, doc, at - start, np.minimum(at + span, size[doc]) - start)
+
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
     x *= 0.5
     np.tanh(x, out=x)
     x *= 0.5
@@ -87,8 +87,6 @@ class ByteGru:
 
     langs: list[str]
     weights: dict[str, np.ndarray]
-    #: Label sums of stretches met before, by hash (ascending); bounded by KEPT.
-    known: tuple[np.ndarray, np.ndarray] | None = None
 
     @classmethod
     def fresh(cls, langs: list[str], hidden: int = HIDDEN, seed: int = SEED) -> ByteGru:
@@ -102,55 +100,48 @@ class ByteGru:
         return cls(langs, {k: v.astype(np.float32) for k, v in w.items()})
 
     def states(self, data: np.ndarray, n: np.ndarray, d: str, trace: list | None = None) -> np.ndarray:
-        """States (time, row, hidden) of one direction; rows come by falling length, so the live ones are a prefix."""
-        x, u = self.weights["x" + d], self.weights["u" + d]
-        k = u.shape[0]
+        """States (time, hidden, row) of one direction; rows come by falling length, so the live ones are a prefix."""
+        x, u = np.ascontiguousarray(self.weights["x" + d].T), np.ascontiguousarray(self.weights["u" + d].T)
+        k = u.shape[1]
         steps = int(n[0]) if len(n) else 0
-        out = np.zeros((steps, len(n), k), np.float32)
-        h = np.zeros((len(n), k), np.float32)
+        out = np.zeros((steps, k, len(n)), x.dtype)
+        h = np.zeros((k, len(n)), x.dtype)
+        data = np.ascontiguousarray(data.T)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
             live = int(np.searchsorted(-n, -t, side="left"))
-            a, prev = x[data[:live, t]], h[:live]
-            m = prev @ u
-            gates = _tanh_gate(a[:, : 2 * k] + m[:, : 2 * k])
-            r, z = gates[:, :k], gates[:, k:]
-            new = np.tanh(a[:, 2 * k :] + r * m[:, 2 * k :])
+            a, prev = x.take(data[t, :live], axis=1), h[:, :live]
+            m = u @ prev
+            gates = _sigmoid(a[: 2 * k] + m[: 2 * k])
+            r, z = gates[:k], gates[k:]
+            new = r * m[2 * k :]
+            new += a[2 * k :]
+            np.tanh(new, out=new)
             if trace is not None:
-                trace.append((t, live, prev.copy(), r, z, new, m[:, 2 * k :]))
-            h[:live] = new + z * (prev - new)
-            out[t, :live] = h[:live]
+                trace.append((t, live, prev.copy(), r, z, new, m[2 * k :]))
+            step = prev - new
+            step *= z
+            step += new
+            h[:, :live] = step
+            out[t, :, :live] = step
         return out
 
-    def label_sums(self, data: np.ndarray, n: np.ndarray, rows: int = 4096) -> np.ndarray:
-        """For each stretch, the sum over its bytes of the label probabilities."""
-        out = np.zeros((len(n), len(self.langs)))
-        order = np.argsort(-n, kind="stable")
+    def label_sums(self, w: ByteWindows, rows: int = ROWS) -> np.ndarray:
+        """For each window, the sum over its counted bytes of the label probabilities."""
+        out = np.zeros((len(w.n), len(self.langs)))
+        order = np.argsort(-w.n, kind="stable")
         for i in range(0, len(order), rows):
             o = order[i : i + rows]
-            d, m = data[o], n[o]
-            logits = self.states(d, m, "f") @ self.weights["o"][: self.hidden]
-            logits += self.states(d, m, "b") @ self.weights["o"][self.hidden :]
-            logits += self.weights["c"]
-            logits -= logits.max(axis=2, keepdims=True)
-            np.exp(logits, out=logits)
-            logits /= logits.sum(axis=2, keepdims=True)
-            logits[np.arange(len(logits))[:, None] >= m] = 0
-            out[o] = logits.sum(axis=0)
-        return out
-
-    def known_sums(self, x: Stretches) -> np.ndarray:
-        """``label_sums`` of distinct stretches, run only for those not met in earlier blocks."""
-        keys, sums = self.known or (np.zeros(0, np.uint64), np.zeros((0, len(self.langs)), np.float32))
-        at = np.searchsorted(keys, x.key)
-        old = np.append(keys, np.uint64(0))[at] == x.key
-        old &= at < len(keys)
-        out = np.empty((len(x.key), len(self.langs)), np.float32)
-        out[old] = sums[at[old]]
-        out[~old] = self.label_sums(x.data[~old], x.n[~old])
-        if len(keys) > KEPT:
-            keys, sums = keys[:0], sums[:0]
-            at = np.zeros(len(x.key), np.int64)
-        self.known = (np.insert(keys, at[~old], x.key[~old]), np.insert(sums, at[~old], out[~old], axis=0))
+            d, m = w.data[o], w.n[o]
+            w_o = np.ascontiguousarray(self.weights["o"].T)
+            p = np.matmul(w_o[:, : self.hidden], self.states(d, m, "f"))
+            p += np.matmul(w_o[:, self.hidden :], self.states(d, m, "b"))
+            p += self.weights["c"][:, None]
+            p -= p.max(axis=1, keepdims=True)
+            np.exp(p, out=p)
+            p /= p.sum(axis=1, keepdims=True)
+            t = np.arange(len(p))[:, None]
+            p *= ((t >= w.lo[o]) & (t < w.hi[o]))[:, None, :]
+            out[o] = p.sum(axis=0).T
         return out
 
     @property
@@ -161,97 +152,100 @@ class ByteGru:
         """Mean cross-entropy over all positions, and its gradients by backpropagation through time."""
         k, w = self.hidden, self.weights
         traces: dict[str, list] = {"f": [], "b": []}
-        h = np.concatenate([self.states(data, n, d, traces[d]) for d in "fb"], axis=2)
-        logits = h @ w["o"] + w["c"]
-        logits -= logits.max(axis=2, keepdims=True)
+        h = np.concatenate([self.states(data, n, d, traces[d]) for d in "fb"], axis=1)
+        logits = np.matmul(w["o"].T, h) + w["c"][:, None]
+        logits -= logits.max(axis=1, keepdims=True)
         p = np.exp(logits)
-        p /= p.sum(axis=2, keepdims=True)
+        p /= p.sum(axis=1, keepdims=True)
         mask = np.arange(len(h))[:, None] < n
         total = mask.sum()
         rows = np.arange(len(n))
-        loss = -np.log(np.maximum(p[:, rows, y], 1e-12))[mask].sum() / total
-        p[:, rows, y] -= 1
-        p *= mask[:, :, None] / total
-        g = {"o": np.einsum("tbh,tbc->hc", h, p), "c": p.sum(axis=(0, 1))}
-        back = p @ w["o"].T
-        for d, part in (("f", back[:, :, :k]), ("b", back[:, :, k:])):
-            gx, gu, dh = np.zeros_like(w["x" + d]), np.zeros_like(w["u" + d]), np.zeros((len(n), k), np.float32)
+        loss = -np.log(np.maximum(p[:, y, rows], 1e-12))[mask].sum() / total
+        p[:, y, rows] -= 1
+        p *= (mask / total)[:, None, :].astype(p.dtype)
+        g = {"o": np.einsum("thb,tcb->hc", h, p), "c": p.sum(axis=(0, 2))}
+        back = np.matmul(w["o"], p)
+        for d, part in (("f", back[:, :k]), ("b", back[:, k:])):
+            gx, gu, dh = np.zeros_like(w["x" + d]), np.zeros_like(w["u" + d]), np.zeros((k, len(n)), p.dtype)
             for t, live, prev, r, z, new, m in reversed(traces[d]):
-                dt = dh[:live] + part[t, :live]
+                dt = dh[:, :live] + part[t, :, :live]
                 dn = dt * (1 - z) * (1 - new * new)
                 dz = dt * (prev - new) * z * (1 - z)
                 dr = dn * m * r * (1 - r)
-                da = np.concatenate([dr, dz, dn], axis=1)
-                np.add.at(gx, data[:live, t], da)
-                dm = np.concatenate([dr, dz, dn * r], axis=1)
-                gu += prev.T @ dm
-                dh[:live] = dt * z + dm @ w["u" + d].T
+                np.add.at(gx, data[:live, t], np.concatenate([dr, dz, dn]).T)
+                dm = np.concatenate([dr, dz, dn * r])
+                gu += prev @ dm.T
+                dh[:, :live] = dt * z + w["u" + d] @ dm
             g["x" + d], g["u" + d] = gx, gu
         return float(loss), g
 
-    def train(self, data: np.ndarray, n: np.ndarray, y: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> float:
-        """Adam over random batches of stretches; returns the last loss."""
+    def train(self, data: list[np.ndarray], n: list[np.ndarray], steps: int = STEPS, batch: int = BATCH, rate: float = RATE, seed: int = SEED) -> float:
+        """Adam over random batches of windows, given by language, of which all are drawn alike; returns the last loss."""
         r = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.weights.items()}
         s = {k: np.zeros_like(v) for k, v in self.weights.items()}
+        some = np.flatnonzero([len(x) > 0 for x in n])
         loss = 0.0
         for i in range(1, steps + 1):
-            pick = r.integers(0, len(n), batch)
-            pick = pick[np.argsort(-n[pick], kind="stable")]
-            loss, g = self.gradients(data[pick], n[pick], y[pick])
+            y = some[r.integers(0, len(some), batch)]
+            pick = [int(r.integers(0, len(n[c]))) for c in y]
+            d, k = np.stack([data[c][p] for c, p in zip(y, pick)]), np.array([n[c][p] for c, p in zip(y, pick)])
+            order = np.argsort(-k, kind="stable")
+            loss, g = self.gradients(d[order], k[order], y[order])
             step = rate * (1 - (i - 1) / steps)
-            for k, v in g.items():
-                m[k] = 0.9 * m[k] + 0.1 * v
-                s[k] = 0.99 * s[k] + 0.01 * v * v
-                self.weights[k] -= (step * (m[k] / (1 - 0.9**i)) / (np.sqrt(s[k] / (1 - 0.99**i)) + 1e-8)).astype(np.float32)
+            for key, v in g.items():
+                m[key] = 0.9 * m[key] + 0.1 * v
+                s[key] = 0.99 * s[key] + 0.01 * v * v
+                self.weights[key] -= (step * (m[key] / (1 - 0.9**i)) / (np.sqrt(s[key] / (1 - 0.99**i)) + 1e-8)).astype(np.float32)
         return loss
 
     def document_probabilities(self, texts: list[bytes]) -> np.ndarray:
-        """Mean label probabilities over all bytes of each whole text; zeros without a word."""
+        """Mean label probabilities over all bytes of each whole text; zeros without any."""
         parts = [np.zeros((0, len(self.langs)))]
         for s in tx.blocks(texts):
-            x = segments(texts[s])
-            sums, n, inverse = self.known_sums(x), x.n, x.inverse
-            doc = x.cut.doc()
-            own = np.stack([np.bincount(doc, sums[inverse, c], minlength=s.stop - s.start) for c in range(len(self.langs))], axis=1)
-            size = np.bincount(doc, n[inverse], minlength=s.stop - s.start)
-            parts.append(own / np.maximum(size, 1)[:, None])
+            w = byte_windows(texts[s])
+            sums = self.label_sums(w)
+            own = np.stack([np.bincount(w.doc, sums[:, c], minlength=s.stop - s.start) for c in range(len(self.langs))], axis=1)
+            parts.append(own / np.maximum([len(t) for t in texts[s]], 1)[:, None])
         return np.concatenate(parts)
 
 
-def training_rows(docs: DataFrame, learn: Column, text_col: str, lang_col: str, id_col: str) -> list:
-    """The bounded sample: (language, stretch of text) pairs in a fixed order."""
+def training_rows(docs: DataFrame, learn: Column, text_col: str, lang_col: str, id_col: str) -> list[tuple[str, str]]:
+    """The bounded sample: (language, whole text) pairs in a fixed order.
+
+    Documents are chosen by id and language alone.  Of a language with many,
+    those whose hash lies in a share that holds somewhat more than enough are
+    ranked, so no task has all ids of a language.
+    """
     key = F.md5(F.concat(F.lit("lang:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    # Documents are chosen by id and language alone; at most MOST_LANGS * TRAIN_DOCS short rows are broadcast to meet their texts.
-    c = docs.where(learn & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), key.alias("key"), F.col(id_col).alias("__id"))
-    c = c.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key"))).where(F.col("rank") <= TRAIN_DOCS)
-    c = c.orderBy("rank", "lang", "key").limit(MOST_LANGS * TRAIN_DOCS)
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__doc"), F.col(lang_col).alias("__lang"), F.col(text_col).alias("text"))
-    d = texts.join(F.broadcast(c), (F.col("__doc") == F.col("__id")) & (F.col("__lang") == F.col("lang")))
-    span = F.greatest(F.length("text") - TRAIN_CHARS, F.lit(0)) + 1
-    place = F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), span.cast("long")) + 1
-    d = d.select("lang", F.col("text").substr(place.cast("int"), F.lit(TRAIN_CHARS)).alias("text"), "key", "rank")
-    rows = d.orderBy("rank", "lang", "key", "text").limit(MOST_LANGS * TRAIN_DOCS).collect()
-    return [(r["lang"], r["text"]) for r in rows]
+    c = docs.where(learn & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), key.alias("key"), F.col(id_col).alias("id"))
+    sizes = c.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    quota = F.least(F.lit(TRAIN_DOCS), F.greatest(F.lit(1), F.floor(F.lit(TRAIN_ROWS) / F.count(F.lit(1)).over(Window.partitionBy()))))
+    sizes = sizes.withColumn("quota", quota.cast("int"))
+    place = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / 2.0**32
+    c = c.join(sizes, "lang").where(place * F.col("n") <= 2 * F.col("quota") + 50)
+    c = c.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key", "id"))).where(F.col("rank") <= F.col("quota")).select("lang", "id", "key", "rank")
+    mine = private(docs, "id", "lang", "text")
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias(mine[0]), F.col(lang_col).alias(mine[1]), F.col(text_col).alias(mine[2]))
+    # At most TRAIN_ROWS short rows, or one of each language, meet the texts.
+    d = texts.join(F.broadcast(c), F.col(mine[0]).eqNullSafe(F.col("id")) & (F.col(mine[1]) == F.col("lang")))
+    rows = d.select("rank", "lang", "key", F.col(mine[2]).alias("text")).collect()
+    return [(r["lang"], r["text"]) for r in sorted(rows, key=lambda r: (r["rank"], r["lang"], r["key"], r["text"]))]
 
 
 def fit(rows: list[tuple[str, str]]) -> ByteGru | None:
-    langs = sorted({lang for lang, _ in rows})[:MOST_LANGS]
+    langs = sorted({lang for lang, _ in rows})
     if not langs:
         return None
     datas, lengths, labels = [], [], []
     for i, lang in enumerate(langs):
-        x = segments([t.encode() for own, t in rows if own == lang])
-        datas.append(x.data[x.inverse])
-        lengths.append(x.n[x.inverse])
-        labels.append(np.full(len(x.inverse), i))
-    # Languages are learned alike, however much text each has.
-    most = max(map(len, labels))
-    pick = [np.resize(np.arange(len(x)), most if len(x) else 0) for x in labels]
-    data, n, y = (np.concatenate([v[p] for v, p in zip(part, pick)]) for part in (datas, lengths, labels))
+        w = byte_windows([t.encode() for own, t in rows if own == lang], TRAIN_SPAN, 0)
+        datas.append(np.pad(w.data, ((0, 0), (0, TRAIN_SPAN - w.data.shape[1]))))
+        lengths.append(w.n)
+        labels.append(np.full(len(w.n), i))
     model = ByteGru.fresh(langs)
-    if len(n) and len(langs) > 1:
-        model.train(data, n, y)
+    if len(langs) > 1 and any(len(n) for n in lengths):
+        model.train(datas, lengths)
     return model
 
 
