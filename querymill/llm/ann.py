@@ -38,10 +38,10 @@ from querymill.llm.session import prepare, stable
 
 DEGREE = 32
 #: Random orders of the start, their blocks, and the neighbours that one order gives a node.
-ORDERS, BLOCK, FROM_ORDER = 2, 64, 16
+ORDERS, BLOCK, FROM_ORDER = 3, 96, 16
 #: Rounds end when less than this share of the list entries is new.
-DELTA = 0.002
-BEAM = 200
+DELTA = 0.05
+BEAM = 150
 #: Reverse neighbours that a node takes in a round, of the new ones and of the others.
 REVERSE = 16
 HASH_BITS = 62
@@ -276,10 +276,11 @@ def settled(graph: DataFrame, points: DataFrame, degree: int = DEGREE, delta: fl
     """Rounds of descend until less than ``delta`` of the entries are new; lists only get nearer, so this ends."""
     graph, turn = _flagged(graph), 0
     while rounds is None or turn < rounds:
-        graph = _gathered(stable(descend(graph, points, degree, turn)), NODE_ROWS)
+        graph = stable(descend(graph, points, degree, turn))
         turn += 1
         new = F.length(F.regexp_replace(F.hex("fresh"), "00", "")) / 2
-        r = graph.agg(F.sum(new).alias("fresh"), F.sum(F.length("ids") / 8).alias("n")).first()
+        r = graph.agg(F.count(F.lit(1)).alias("rows"), F.sum(new).alias("fresh"), F.sum(F.length("ids") / 8).alias("n")).first()
+        graph = graph.coalesce(max(1, -(-r["rows"] // NODE_ROWS)))
         if not r["n"] or r["fresh"] < delta * r["n"]:
             break
     return graph.select("node", "ids", "sims")
@@ -362,8 +363,10 @@ def greedy_search(starts: DataFrame, around: DataFrame, beam: int = BEAM) -> Dat
         # The frontier goes to the table, which is kept by node and not shuffled again.
         ask = state.mapInArrow(frontier, "start long, node long, q binary, bar float")
         met = ask.join(around, "node").select("start", "bar", "q", "around", "qs").mapInArrow(measure, LISTS).withColumn("b", _block(state, "node"))
-        state = _gathered(stable(state.withColumn("b", _block(state, "start")).groupBy("b").cogroup(met.groupBy("b")).applyInArrow(merge, schema)), QUERY_ROWS)
-        if state.where(F.expr("position(X'00', open) > 0")).isEmpty():
+        state = stable(state.withColumn("b", _block(state, "start")).groupBy("b").cogroup(met.groupBy("b")).applyInArrow(merge, schema))
+        r = state.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.expr("position(X'00', open) > 0")).alias("open")).first()
+        state = state.coalesce(max(1, -(-r["rows"] // QUERY_ROWS)))
+        if not r["open"]:
             return state.select("start", "ids", "sims")
 
 

@@ -228,6 +228,46 @@ def test_language_gradients_are_right():
         assert abs((ends[0] - ends[1]) / 2e-3 - g[k][i]) < 2e-3 * max(1, abs(g[k][i])), k
 
 
+def plain_probabilities(m, text):
+    """The mean label probabilities of a text that fits one window, byte by byte."""
+
+    def states(order, d):
+        k, h, out = m.hidden, np.zeros(m.hidden), {}
+        for t in order:
+            a, b = m.weights["x" + d][text[t]], h @ m.weights["u" + d]
+            r, z = (1 / (1 + np.exp(-(a + b)[i * k : (i + 1) * k])) for i in (0, 1))
+            new = np.tanh(a[2 * k :] + r * b[2 * k :])
+            h = (1 - z) * new + z * h
+            out[t] = h
+        return out
+
+    places = range(len(text))
+    f, b = states(places, "f"), states(reversed(places), "b")
+    p = [np.exp(np.concatenate([f[t], b[t]]) @ m.weights["o"] + m.weights["c"]) for t in places]
+    return np.mean([x / x.sum() for x in p], axis=0)
+
+
+def test_language_of_a_text_is_a_plain_forward_pass():
+    m = language_id.ByteGru.fresh(["a", "b", "c"])
+    texts = ["the cat sat".encode(), "日本語の文章には空白がない".encode() * 8, b"x", b"ab " * 100]
+    got = m.document_probabilities([*texts, b""])
+    for g, t in zip(got, texts):
+        assert np.allclose(g, plain_probabilities(m, t), atol=1e-4)
+    assert not got[-1].any()
+
+
+def test_long_texts_carry_state_over_windows():
+    m = language_id.fit([("a", "abc abd aab " * 60), ("b", "xyz xxy zzy " * 60), ("c", "日本語文章空白" * 60)])
+    texts = [t.encode() for t in ("abcaab" * 900, "xyzzy " * 700, "空白文章" * 400)]
+    p = m.document_probabilities(texts)
+    assert p.argmax(axis=1).tolist() == [0, 1, 2]
+    w = language_id.byte_windows(texts)
+    assert (w.hi - w.lo).sum() == sum(map(len, texts)) and (w.lo[1:] >= 0).all()
+    # One window over all of a text gives nearly the same.
+    one = language_id.byte_windows(texts, span=10_000)
+    assert np.abs(m.label_sums(one) / np.array([[len(t)] for t in texts]) - p).max() < 0.02
+
+
 def test_language_and_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     d = spark.read.parquet(f"{sf}/documents.parquet")
