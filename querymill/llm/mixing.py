@@ -10,9 +10,10 @@ bucket, so neither a hot source nor the whole table meets in one task.
 
 Defined cases: a null text has size 0, and nothing is taken of it; a null
 source is a source of its own, ordered last; repeated rows are taken alike;
-equal shuffle keys are ordered by doc_id, size and a hash of the text; an empty
-table gives an empty result; further columns are kept, and those named like a result column
-are replaced.
+equal shuffle keys are ordered by doc_id, size and a hash of the text; a very
+long text is one document, taken whole or not at all; an empty table gives an
+empty result; further columns are kept, whatever their names, and those named
+like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from querymill.llm.session import stable
+from querymill.llm.session import private, stable
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -68,8 +69,9 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
     text_hash = F.xxhash64(text_col)
     own = [c for c in docs.columns if c not in MADE]
     plan = mix_plan(docs, text_col, id_col, source_col, salt)
-    keys = [(F.col(id_col), "__id"), (F.col(source_col), "__source"), (text_hash, "__text")]
-    plan = plan.select(F.col(id_col).alias("__id"), F.col("source").alias("__source"), F.col("text_hash").alias("__text"), *MADE)
+    mine = private(docs, "id", "source", "text")
+    keys = list(zip((F.col(id_col), F.col(source_col), text_hash), mine))
+    plan = plan.select(F.col(id_col).alias(mine[0]), F.col("source").alias(mine[1]), F.col("text_hash").alias(mine[2]), *MADE)
     joined = docs.select(*own).join(plan, [a.eqNullSafe(F.col(b)) for a, b in keys])
     return joined.select(*own, *MADE)
 

@@ -38,8 +38,7 @@ def _listed(term: str) -> str:
 _RULES = " UNION ALL ".join(f"SELECT '{v}' AS v, '{h}' AS h, '{p}' AS p" for v, h, p in RULES)
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _OP3 = f"""
-WITH a AS (SELECT page_id, CASE WHEN contains(url, '://') THEN url END AS url FROM pages),
-b AS (SELECT page_id, {_LOWER.format('url')} AS u, coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '') AS host0, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM a),
+WITH b AS (SELECT page_id, coalesce({_LOWER.format('url')}, '') AS u, coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), '') AS host0, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
 c AS (SELECT page_id, u, {_LOWER.format('host0')} AS host, path FROM b),
 r AS ({_RULES}),
 fit AS (SELECT page_id, h || p AS rule, v FROM c JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h || p) DESC) = 1),

@@ -5,9 +5,10 @@ by host, host rates are shrunk with an empirical beta prior, and the verdict of
 a host goes back to its documents.
 
 Defined cases: a null or empty text has no words, so it fails the base rules; a
-null host is a host of its own; repeated rows are judged and counted one by
-one; an empty table gives an empty result; further input columns are kept, and
-those named like a result column are replaced.
+null host is a host of its own; a very long text is measured whole, as a block of
+its own; a host exactly at the limit is kept; repeated rows are judged and
+counted one by one; an empty table gives an empty result; further input columns
+are kept, whatever their names, and those named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from querymill.llm import text as tx
-from querymill.llm.session import prepare, stable
+from querymill.llm.session import prepare, private, stable
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -113,8 +114,9 @@ def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "sour
     folder, and both the host sums and the join read them there.
     """
     judged = stable(with_measures(docs, text_col, keep_text))
-    hosts = host_verdicts(judged, host_col, limit).select("host", "shrunk_rate", "host_kept")
-    judged = judged.select(*(c for c in judged.columns if c not in ("shrunk_rate", "host_kept", "kept")))
+    mine, other, verdict = private(judged, "host", "key", "verdict")
+    hosts = host_verdicts(judged, host_col, limit).select(F.col("host").alias(other), "shrunk_rate", F.col("host_kept").alias(verdict))
+    judged = judged.select(*(c for c in judged.columns if c not in ("shrunk_rate", "kept")))
     # Hosts are few beside documents but not bounded: Spark picks the join, and splits a hot host if it sorts and merges.
-    joined = judged.withColumn("__host", F.col(host_col)).join(hosts.withColumnRenamed("host", "__key"), F.col("__host").eqNullSafe(F.col("__key")), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).drop("__host", "__key", "host_kept")
+    joined = judged.withColumn(mine, F.col(host_col)).join(hosts, F.col(mine).eqNullSafe(F.col(other)), "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(verdict, F.lit(True))).drop(mine, other, verdict)

@@ -19,6 +19,8 @@ def prepare(spark: SparkSession) -> None:
     if context._jsc.sc().getCheckpointDir().isEmpty():
         place = context.getConf().get("spark.checkpoint.dir")
         if not place:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             import tempfile
 
             place = tempfile.mkdtemp(prefix="querymill-")

@@ -1,7 +1,9 @@
 """URL filter: host and path rules, then a weighted vocabulary.
 
-Defined cases: a null url, or one without ``://``, has an empty host and path,
-fits no rule and is allowed; an empty table gives an empty result; repeated
+Defined cases: a null url has an empty host and path, fits no rule and is
+allowed; one without ``://`` has no host and path either, and the vocabulary
+judges it; a very long url is read whole; of rules of one length that fit, the
+first of the policy wins; an empty table gives an empty result; repeated
 rows are judged alike; further columns are kept, and those named like a result
 column are replaced.
 """
@@ -101,7 +103,7 @@ class UrlJudge:
     def judge(self, url: str | None) -> tuple[str, str, str | None, str, int, int, int]:
         host, path = host_and_path(url)
         rule, verdict = self.rule(host, path)
-        strict, distinct, weight = self.terms(url if url and "://" in url else None)
+        strict, distinct, weight = self.terms(url)
         if verdict is None:
             bad = strict or (distinct >= self.policy.soft_terms and weight >= self.policy.soft_weight)
             verdict = "block" if bad else "allow"

@@ -358,3 +358,15 @@ def test_empty_tables(spark):
         bpe.digests(d, tokenizer("byte_bpe_50k.json")), token_counts.count_tokens(d, tokenizer("piece_bpe_32k.model")), ann.nearest(vectors), ngram_join.jaccard_classes(d),
     ):
         assert out.count() == 0
+
+
+def test_hostile_columns_and_texts(spark):
+    """Null, empty, huge and repeated texts, null ids, and columns named like private ones."""
+    huge = "lorem ipsum dolor sit amet " * 20_000
+    texts = [None, "", huge, "a b c d e f", "a b c d e f", "one", huge]
+    extra = ["__key", "__id", "__chunk", "__text", "__set", "__host", "__k", "host_kept", "label", "node", "chunk"]
+    rows = [(None if i == 5 else min(i, 5), t, "en", "s", *([str(i)] * len(extra))) for i, t in enumerate(texts)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in extra))
+    for out in (quality_rules.quality_rules(d), substring_dedup.remove_repeats(d), mixing.mix(d), ngram_join.jaccard_classes(d), language_id.identify(d), token_counts.count_tokens(d, tokenizer("piece_bpe_32k.model"))):
+        assert set(d.columns) <= set(out.columns)
+        assert sorted(r["__key"] for r in out.select("__key").collect()) == sorted(map(str, range(len(texts))))

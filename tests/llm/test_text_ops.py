@@ -95,6 +95,7 @@ def test_url_rules_and_terms():
     assert j.judge("http://net/de/7")[2:4] == ("net/de/", "allow")
     assert j.judge(None)[:4] == ("", "", None, "allow")
     assert j.judge("no scheme")[:4] == ("", "", None, "allow")
+    assert j.judge("casino-win.example/free-bets")[:4] == ("", "", None, "block")
     assert j.judge("http://a.org?q")[:4] == ("a.org", "", None, "allow")
     assert j.judge("http://spam-farm.example.fr/x")[3] == "block"
     assert j.judge("http://despam-farms.example.fr/x")[3] == "allow"
