@@ -215,7 +215,8 @@ def training_rows(docs: DataFrame, learn: Column, text_col: str, lang_col: str,
 
     Documents are chosen by id and language alone.  Of a language with many,
     those whose hash lies in a share that holds somewhat more than enough are
-    ranked, so no task has all ids of a language.
+    ranked.  The sizes have a row for each language, as the model itself has;
+    they are broadcast, so that this share alone is shuffled.
     """
     key = F.md5(F.concat(F.lit("lang:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     c = docs.where(learn & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), key.alias("key"), F.col(id_col).alias("id"))
@@ -223,7 +224,7 @@ def training_rows(docs: DataFrame, learn: Column, text_col: str, lang_col: str,
     quota = F.least(F.lit(TRAIN_DOCS), F.greatest(F.lit(1), F.floor(F.lit(TRAIN_ROWS) / F.count(F.lit(1)).over(Window.partitionBy()))))
     sizes = sizes.withColumn("quota", quota.cast("int"))
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / 2.0**32
-    c = c.join(sizes, "lang").where(place * F.col("n") <= 2 * F.col("quota") + 50)
+    c = c.join(F.broadcast(sizes), "lang").where(place * F.col("n") <= 2 * F.col("quota") + 50)
     c = c.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key", "id"))).where(F.col("rank") <= F.col("quota")).select("lang", "id", "key", "rank")
     mine = private(docs, "id", "lang", "text")
     texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias(mine[0]), F.col(lang_col).alias(mine[1]), F.col(text_col).alias(mine[2]))
