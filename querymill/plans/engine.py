@@ -10,9 +10,7 @@ the state of the queries and the synthetic table, nothing else.
 from __future__ import annotations
 
 import logging
-import os
-import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,11 +25,13 @@ from querymill.operators import measure as ms
 from querymill.operators import metrics
 from querymill.operators import workload as wl
 from querymill.operators.schema import TableSchema
+from querymill.plans import report
 from querymill.sources import config as cfg
 from querymill.sources import tables
 
 log = logging.getLogger("querymill")
-SERIES = "iteration int, loss double, active int, candidates long, positive long, selected long, accepted long, batch_advantage double, max_drift long"
+# What a held-out workload is unless configured.
+HELD_OUT = {"families": ("twoway", "prefix", "range", "mixed"), "max_queries": 10_000, "max_terms": 4, "max_2way_cells": 10_000, "range_intervals": 128, "mixed_per_pair": 128, "seed": 10_000}
 
 
 @dataclass(frozen=True)
@@ -59,19 +59,18 @@ class EvolveConfig:
 class EvolveResult:
     syn: DataFrame
     state: DataFrame
-    series: list[tuple] = field(default_factory=list)
-    runtime: dict[str, Any] = field(default_factory=dict)
+    series: list[dict[str, Any]]
+    clock: report.Stopwatch
 
 
 def evolve(syn: DataFrame, queries: DataFrame, state: DataFrame, schema: TableSchema, config: EvolveConfig) -> EvolveResult:
     """Edit ``syn`` (row_id, codes) so that its answers approach the targets in ``state``."""
     d, series, idle = schema.d, [], 0
-    stages = {k: 0.0 for k in ("schedule", "propose", "score", "select", "apply", "recount")}
-    funnel = {k: 0 for k in ("requested", "scored", "positive", "selected", "accepted")}
     syn, state = _written(syn), _written(state)
+    m = state.count()
+    clock = report.Stopwatch()
     for it in range(1, config.max_iters + 1):
         salt = f"{config.seed}/{it}"
-        clock = _Clock(stages)
         active = _written(ev.active_queries(state, config.num_active, config.kappa).join(queries.select("qid", "terms"), "qid"))
         clock.lap("schedule")
         cands = _written(ev.candidates(syn, active, schema, config.total_candidates, salt, config.random_fraction, config.per_target, config.gamma, config.random_only, config.range_exit))
@@ -86,9 +85,7 @@ def evolve(syn: DataFrame, queries: DataFrame, state: DataFrame, schema: TableSc
         selected = _written(ev.select_nonconflicting(scored, config.accepted_per_iter, config.min_advantage))
         accepted = _written(ev.choose_prefix(selected, delta, state, config.lambda_cost, config.strategy))
         clock.lap("select")
-        counts = scored.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("advantage") > config.min_advantage).alias("p")).first()
-        taken = accepted.agg(F.count(F.lit(1)).alias("n"), F.max("batch_advantage").alias("a")).first()
-        if taken["n"]:
+        if not accepted.isEmpty():
             state, syn = _written(ev.apply_deltas(state, accepted, delta)), _written(ev.apply_edits(syn, accepted))
         clock.lap("apply")
         gap = None
@@ -99,34 +96,21 @@ def evolve(syn: DataFrame, queries: DataFrame, state: DataFrame, schema: TableSc
                 log.warning("iteration %d: answers drifted by %s; the counted ones replace them", it, gap)
                 state = _written(state.drop("answer").join(counted, "qid").withColumn("residual", F.col("target") - F.col("answer")).select(*state.columns))
         clock.lap("recount")
-        loss = metrics.measured_loss(state).first()["loss"]
-        chosen = selected.count()
-        series.append((it, loss, min(config.num_active, active.count()), counts["n"], counts["p"], chosen, taken["n"], taken["a"], gap))
-        for k, v in zip(funnel, (config.total_candidates, counts["n"], counts["p"], chosen, taken["n"])):
-            funnel[k] += v
-        log.info("iteration %d: loss %.6g, %d accepted", it, loss, taken["n"])
-        idle = 0 if taken["n"] else idle + 1
+        row = report.iteration_row(it, clock.began, m, active.count(), config.total_candidates, scored, selected, accepted, state, config.min_advantage, gap)
+        clock.lap("report")
+        series.append(row)
+        log.info("iteration %d: loss %.6g, %d candidates, %.3f positive, %d accepted", it, row["measured_loss"], row["num_candidates"], row["positive_advantage_rate"], row["accepted_edits"])
+        idle = 0 if row["accepted_edits"] else idle + 1
         if idle >= config.patience:
+            log.info("stopped after %d iterations without an edit", idle)
             break
-    spent = sum(stages.values())
-    rates = {"iterations_per_s": len(series) / max(spent, 1e-9), "candidates_per_s": funnel["scored"] / max(spent, 1e-9), "accept_rate": funnel["accepted"] / max(1, funnel["scored"])}
-    return EvolveResult(syn, state, series, {"seconds": stages, "candidate_funnel": funnel, **rates})
+    return EvolveResult(syn, state, series, clock)
 
 
 def _columns(codes: DataFrame, d: int) -> DataFrame:
     return codes.select("row_id", *[F.col("codes")[i].alias(f"c{i}") for i in range(d)])
 
 
-class _Clock:
-    def __init__(self, stages: dict[str, float]):
-        self.stages, self.at = stages, time.perf_counter()
-
-    def lap(self, name: str) -> None:
-        now = time.perf_counter()
-        self.stages[name] += now - self.at
-        self.at = now
-
-
 # Ablations: what each variant changes in the configuration.
 VARIANTS: dict[str, dict[str, Any]] = {
     "full": {},
@@ -149,14 +133,28 @@ def ablation(config: dict[str, Any], variant: str) -> dict[str, Any]:
     return out
 
 
+def _workload(section: dict[str, Any], seed: int) -> wl.WorkloadConfig:
+    return wl.WorkloadConfig(**{"seed": seed, **{k: tuple(v) if isinstance(v, list) else v for k, v in section.items()}})
+
+
+def _write_queries(queries: DataFrame, path: str) -> None:
+    cfg.write_json({"queries": [r.asDict(recursive=True) for r in queries.orderBy("qid").collect()]}, path)
+
+
 def run(spark: SparkSession, config: dict[str, Any], table: DataFrame | None = None) -> dict[str, Any]:
     """Read, encode, measure, draw, evolve, evaluate and write; returns the final metrics.
 
     ``table`` replaces the input file.  Sections of the configuration: run,
     preprocess, workload, privacy, init, evolve, evaluation.
     """
-    began = time.perf_counter()
     out_dir = cfg.ensure_dir(cfg.get(config, "run.output_dir", "outputs/run"))
+    with report.run_log(f"{out_dir}/logs.txt"):
+        return _run(spark, config, table, out_dir)
+
+
+def _run(spark: SparkSession, config: dict[str, Any], table: DataFrame | None, out_dir: str) -> dict[str, Any]:
+    clock = report.Stopwatch()
+    log.info("results go to %s", out_dir)
     seed = int(cfg.get(config, "run.seed", 0))
     cfg.save_yaml(config, f"{out_dir}/config_resolved.yaml")
     raw = table if table is not None else tables.read_table(spark, cfg.require(config, "run.input"))
@@ -176,20 +174,25 @@ def run(spark: SparkSession, config: dict[str, Any], table: DataFrame | None = N
     ids = F.col(pre["id_column"]) if pre.get("id_column") else F.monotonically_increasing_id()
     real = _written(enc.encode(raw, schema, ids))
     n_real = real.count()
+    log.info("%d rows of %d attributes", n_real, schema.d)
 
-    work = cfg.get(config, "workload", {}) or {}
-    wconf = wl.WorkloadConfig(**{**{k: (tuple(v) if isinstance(v, list) else v) for k, v in work.items()}, "seed": int(work.get("seed", seed))})
+    wconf = _workload(cfg.get(config, "workload", {}) or {}, seed)
     queries, groups = (_written(x) for x in wl.build(spark, schema, wconf))
-    cfg.write_json({"queries": [r.asDict(recursive=True) for r in queries.orderBy("qid").collect()]}, f"{out_dir}/queries.json")
-    cfg.write_json(metrics.workload_summary(queries, schema, wconf.max_queries).first().asDict(), f"{out_dir}/workload_summary.json")
+    _write_queries(queries, f"{out_dir}/queries.json")
+    work = report.workload_report(queries, schema, wconf)
+    cfg.write_json(work, f"{out_dir}/workload_summary.json")
+    log.info("%d queries", work["total_num_queries"])
     held = None
     if cfg.get(config, "evaluation.heldout", False):
-        hconf = wl.WorkloadConfig(**{**wconf.__dict__, **(cfg.get(config, "evaluation.heldout_workload", {}) or {}), "seed": wconf.seed + 1})
-        held, _ = wl.build(spark, schema, hconf)
-        if cfg.get(config, "evaluation.exclude_measured", True):
-            held = cat.exclude_measured(held, queries)
-        held = _written(held)
-        cfg.write_json(metrics.workload_summary(held, schema, hconf.max_queries).first().asDict(), f"{out_dir}/heldout_workload_summary.json")
+        hconf = _workload({**HELD_OUT, **(cfg.get(config, "evaluation.heldout_workload", {}) or {})}, seed)
+        every = _written(wl.build(spark, schema, hconf)[0])
+        excluded = bool(cfg.get(config, "evaluation.exclude_measured", True))
+        held = _written(cat.renumber(cat.exclude_measured(every, queries), "qid")) if excluded else every
+        _write_queries(held, f"{out_dir}/queries_holdout.json")
+        told = report.held_out_report(held, every.count() - held.count(), excluded, hconf)
+        cfg.write_json(told, f"{out_dir}/workload_summary_holdout.json")
+        log.info("%d held-out queries", told["total_num_queries"])
+    clock.lap("preparation")
 
     priv = cfg.get(config, "privacy", {}) or {}
     mconf = ms.MeasureConfig(**{"salt": f"{seed}/noise", **priv})
@@ -197,6 +200,7 @@ def run(spark: SparkSession, config: dict[str, Any], table: DataFrame | None = N
     measured = _written(ms.measure_answers(true, groups, float(n_real), mconf))
     public = {"mode": mconf.mode, "rho_total": mconf.rho_total, "delta": mconf.delta, "epsilon": mconf.epsilon}
     cfg.write_json({**public, "measurements": [r.asDict() for r in ms.public_view(measured).orderBy("qid").collect()]}, f"{out_dir}/measurements.json")
+    clock.lap("measurement")
 
     n_syn = ev.resolve_rows(cfg.get(config, "init.n_syn", "same_as_real"), n_real)
     if n_syn != n_real:
@@ -208,46 +212,65 @@ def run(spark: SparkSession, config: dict[str, Any], table: DataFrame | None = N
     state = measured.join(first, "qid").select(
         "qid", F.col("target_projected").alias("target"), "answer", (F.col("target_projected") - F.col("answer")).alias("residual"), "variance", "inv_variance", F.sqrt("variance").alias("sigma"), F.lit(0.0).alias("debt")
     )
-    result = evolve(syn, queries, state, schema, EvolveConfig(**{"seed": seed, **(cfg.get(config, "evolve", {}) or {})}))
+    clock.lap("init")
+    econf = EvolveConfig(**{"seed": seed, **(cfg.get(config, "evolve", {}) or {})})
+    result = evolve(syn, queries, state, schema, econf)
+    clock.lap("generation")
 
-    decoded = enc.decode(_columns(result.syn, schema.d), schema)
-    tables.write_parquet(_columns(result.syn, schema.d), f"{out_dir}/synthetic_encoded.parquet")
+    made = _columns(result.syn, schema.d)
+    tables.write_parquet(made, f"{out_dir}/synthetic_encoded.parquet")
     if cfg.get(config, "evaluation.save_synthetic_csv", True):
-        tables.write_csv(decoded.drop("row_id"), f"{out_dir}/synthetic.csv")
-    final = _written(result.state.join(first.select("qid", F.col("answer").alias("initial_answer")), "qid").join(true.select("qid", F.col("answer").alias("true_answer")), "qid").join(queries.select("qid", "family"), "qid"))
-    final = final.withColumn("initial_residual", F.col("target") - F.col("initial_answer"))
-    families = metrics.by_family(final, n_real, n_syn).orderBy("family").collect()
-    cfg.write_json({r["family"]: r.asDict() for r in families}, f"{out_dir}/metrics_by_family.json")
-    losses = final.agg(F.sum(0.5 * F.col("initial_residual") ** 2 * F.col("inv_variance")).alias("initial_loss"), F.sum(metrics.loss_column()).alias("final_loss"), F.count(F.lit(1)).alias("m")).first()
-    report: dict[str, Any] = {
+        tables.write_csv(enc.decode(made, schema).drop("row_id"), f"{out_dir}/synthetic.csv")
+    counted = _written(ans.answer(made, queries, schema.cardinalities))
+    gap = float(ev.drift(result.state, counted).first()["max_drift"])
+    final = result.state.drop("answer").join(counted, "qid").withColumn("residual", F.col("target") - F.col("answer"))
+    final = final.join(first.select("qid", F.col("answer").alias("initial_answer")), "qid").join(true.select("qid", F.col("answer").alias("true_answer")), "qid").join(queries.select("qid", "family"), "qid")
+    final = _written(final.withColumn("initial_residual", F.col("target") - F.col("initial_answer")))
+    losses = final.agg(F.sum(0.5 * F.col("initial_residual") ** 2 * F.col("inv_variance")).alias("initial"), F.sum(metrics.loss_column()).alias("final"), F.count(F.lit(1)).alias("m")).first()
+    before, after = losses["initial"] or 0.0, losses["final"] or 0.0
+    n = report.totals(result.series)
+    out: dict[str, Any] = {
         "dataset_name": cfg.get(config, "run.dataset_name"),
-        "n_real": n_real,
-        "n_syn": n_syn,
+        "privacy_mode": mconf.mode,
+        "rho_total": mconf.rho_total,
+        "delta": mconf.delta,
+        "epsilon_delta": mconf.epsilon,
+        "num_rows_real": n_real,
+        "num_rows_synthetic": n_syn,
+        "num_columns": schema.d,
         "num_queries": losses["m"],
-        "initial_loss": losses["initial_loss"],
-        "final_loss": losses["final_loss"],
-        "rms_standardized_residual": metrics.rms_standardized_residual(losses["final_loss"] or 0.0, losses["m"]),
-        "epsilon": mconf.epsilon,
-        "iterations": len(result.series),
-        "final_drift": next((s[-1] for s in reversed(result.series) if s[-1] is not None), None),
+        "num_measurement_groups": groups.count(),
+        "initial_measured_loss": before,
+        "final_measured_loss": after,
+        "loss_reduction": before - after,
+        "initial_rms_standardized_residual": metrics.rms_standardized_residual(before, losses["m"]),
+        "final_rms_standardized_residual": metrics.rms_standardized_residual(after, losses["m"]),
+        "final_incremental_answer_drift": gap,
+        **{k: n[k] for k in ("num_iterations", "num_candidates_scored", "num_candidates_requested", "num_candidate_shortfall", "num_accepted_edits")},
+        "score_backend": econf.score,
+        "transport_prefix_strategy": econf.strategy,
     }
-    if cfg.get(config, "evaluation.true_query_error", True):
-        report |= metrics.before_and_after(final, n_real, n_syn).first().asDict()
+    truth = bool(cfg.get(config, "evaluation.true_query_error", True))
+    if truth:
+        errors = report.true_query(metrics.before_and_after(final, n_real, n_syn).first())
+        out |= errors | {k.removeprefix("final_"): v for k, v in errors.items() if k.startswith("final_")}
+        log.info("error of true answers, for evaluation only: mean %.6g at first, %.6g at last", errors["initial_true_query_mae"], errors["final_true_query_mae"])
     if held is not None:
-        both = ans.answer(real, held, schema.cardinalities).withColumnRenamed("answer", "true_answer").join(ans.answer(_columns(result.syn, schema.d), held, schema.cardinalities), "qid")
-        report |= {f"heldout_{k}": v for k, v in metrics.query_errors(both, n_real, n_syn).first().asDict().items()}
-    runtime = {**result.runtime, "total_seconds": time.perf_counter() - began}
-    cfg.write_json(report, f"{out_dir}/metrics_final.json")
-    cfg.write_json(runtime, f"{out_dir}/runtime.json")
-    _write_series(result.series, os.path.join(out_dir, "metrics_timeseries.csv"))
-    return report
-
-
-def _write_series(series: list[tuple], path: str) -> None:
-    """A CSV file with a header, also when there was no iteration."""
-    import csv
-
-    with open(path, "w", newline="", encoding="utf-8") as f:
-        w = csv.writer(f)
-        w.writerow([c.split()[0] for c in SERIES.split(", ")])
-        w.writerows(series)
+        three = [(real, "true_answer"), (_columns(syn, schema.d), "initial_answer"), (made, "answer")]
+        both = held.select("qid", "family")
+        for rows, name in three:
+            both = both.join(ans.answer(rows, held, schema.cardinalities).withColumnRenamed("answer", name), "qid")
+        both = _written(both)
+        of_held = report.held_out_metrics(both, n_real, n_syn)
+        cfg.write_json(of_held, f"{out_dir}/metrics_holdout.json")
+        cfg.write_json(report.errors_by_family(both, n_real, n_syn), f"{out_dir}/metrics_by_family_holdout.json")
+        out |= {f"heldout_{k}": v for k, v in of_held.items() if k != "queries_by_family"}
+        log.info("error of held-out answers, for evaluation only: mean %.6g at first, %.6g at last", of_held["initial_true_query_mae"], of_held["final_true_query_mae"])
+    cfg.write_json(report.metrics_by_family(final, n_real, n_syn, truth), f"{out_dir}/metrics_by_family.json")
+    clock.lap("evaluation")
+    out |= report.efficiency(n, before - after, result.clock.of(*result.clock.seconds))
+    log.info("loss %.6g at first, %.6g at last; %d candidates, %d edits", before, after, n["num_candidates_scored"], n["num_accepted_edits"])
+    cfg.write_json(out, f"{out_dir}/metrics_final.json")
+    cfg.write_json(report.runtime(clock, result.clock, n, before - after), f"{out_dir}/runtime.json")
+    report.write_series(result.series, f"{out_dir}/metrics_timeseries.csv")
+    return out

@@ -264,12 +264,13 @@ def metrics_by_family(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evolve_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three iterations; losses never rise and maintained answers equal counted ones."""
-    from querymill.plans import engine
+    from querymill.plans import engine, report
 
     w = _world(spark, sf_dir)
     config = engine.EvolveConfig(max_iters=3, accepted_per_iter=ACCEPT, num_active=ACTIVE, total_candidates=200, per_target=PER_QUERY, seed=SEED, full_recompute_every=1)
     result = engine.evolve(w["syn"], w["queries"], w["state"], w["schema"], config)
-    return spark.createDataFrame(result.series, engine.SERIES)
+    series = spark.createDataFrame([tuple(r[c] for c in report.COLUMNS) for r in result.series], report.SERIES)
+    return series.drop("wall_time")
 
 
 QUERIES = {

@@ -59,7 +59,7 @@ def apply_overrides(config: dict[str, Any], tokens: Sequence[str]) -> dict[str,
             raise ValueError(f"unexpected argument {token!r}")
         key, eq, value = token[2:].partition("=")
         if not eq:
-            if not rest or rest[0].startswith("--"):
+            if not rest:
                 raise ValueError(f"--{key} has no value")
             value = rest.pop(0)
         set_nested(out, key, parse_scalar(value))

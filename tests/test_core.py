@@ -1,5 +1,6 @@
 """Driver-side parts, identities and small tables."""
 
+import csv
 import math
 
 import pytest
@@ -20,6 +21,7 @@ def test_scalars_and_overrides():
     assert [cfg.parse_scalar(x) for x in ("true", "None", "3", "1e-3", "a.b", "x")] == [True, None, 3, 0.001, "a.b", "x"]
     out = cfg.apply_overrides({"a": 1}, ["--a.b", "2", "--c=x"])
     assert out == {"a": {"b": 2}, "c": "x"}
+    assert cfg.apply_overrides({}, ["--a", "--b"]) == {"a": "--b"}
     for bad in (["stray"], ["--k"]):
         with pytest.raises(ValueError):
             cfg.apply_overrides({}, bad)
@@ -85,9 +87,30 @@ def test_whole_run(spark, tmp_path):
 
     config = cfg.apply_overrides(SMOKE, ["--run.output_dir", str(tmp_path), "--evolve.max_iters", "2", "--evolve.lambda_cost", "0.0"])
     report = engine.run(spark, config, smoke_table(spark, 120))
-    assert report["final_drift"] == 0 and report["final_loss"] <= report["initial_loss"]
+    assert report["final_incremental_answer_drift"] == 0 and report["final_measured_loss"] <= report["initial_measured_loss"]
+    assert report["true_query_mae"] == report["final_true_query_mae"] and report["heldout_num_queries"] > 0
+    assert report["loss_reduction"] == report["initial_measured_loss"] - report["final_measured_loss"]
+    with open(tmp_path / "metrics_timeseries.csv", newline="") as f:
+        series = list(csv.DictReader(f))
+    assert len(series) == report["num_iterations"] == 2 and len(series[0]) == 23
+    for r in series:
+        got, asked = int(r["num_candidates"]), int(r["requested_candidates"])
+        assert int(r["directed_candidates"]) + int(r["random_candidates"]) == got and int(r["candidate_shortfall"]) == asked - got
+        assert int(r["accepted_edits"]) <= int(r["selected_nonconflicting"]) <= got
+    assert float(series[-1]["measured_loss"]) == pytest.approx(report["final_measured_loss"])
+    runtime = cfg.read_json(str(tmp_path / "runtime.json"))
+    funnel = [runtime["candidate_funnel"][k] for k in ("requested", "scored", "positive_returned", "selected_nonconflicting", "accepted")]
+    assert funnel == sorted(funnel, reverse=True) and funnel[-1] == report["num_accepted_edits"]
+    work = cfg.read_json(str(tmp_path / "workload_summary.json"))
+    assert sum(work["num_queries_by_family"].values()) == work["total_queries"] == report["num_queries"]
+    assert sum(work["num_groups_by_family"].values()) == report["num_measurement_groups"]
+    held = cfg.read_json(str(tmp_path / "metrics_holdout.json"))
+    by_family = cfg.read_json(str(tmp_path / "metrics_by_family_holdout.json"))
+    assert sum(v["num_queries"] for v in by_family.values()) == held["num_queries"] == len(cfg.read_json(str(tmp_path / "queries_holdout.json"))["queries"])
+    assert max(v["final_true_query_max_error"] for v in by_family.values()) == held["final_true_query_max_error"]
+    assert "iteration 2" in (tmp_path / "logs.txt").read_text()
     assert "true_answer" not in (tmp_path / "measurements.json").read_text()
-    for name in ("config_resolved.yaml", "schema.json", "queries.json", "metrics_final.json", "runtime.json", "metrics_timeseries.csv", "synthetic.csv"):
+    for name in ("config_resolved.yaml", "schema.json", "queries.json", "metrics_final.json", "runtime.json", "synthetic.csv", "metrics_by_family.json", "workload_summary_holdout.json"):
         assert (tmp_path / name).exists()
     with pytest.raises(ValueError):
         engine.ablation(config, "nothing")
