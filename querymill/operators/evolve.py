@@ -244,6 +244,11 @@ def score_target_only(cands: DataFrame, queries: DataFrame, state: DataFrame, la
     return c.withColumn("advantage", gain - lambda_cost * F.col("edit_cost")).select(*cands.columns, "advantage")
 
 
+def top_scored(scored: DataFrame, k: int) -> DataFrame:
+    """The k best candidates; ties go to the smaller cand_id.  Each partition keeps k at most before they merge."""
+    return scored.orderBy(F.desc("advantage"), "cand_id").limit(max(0, k))
+
+
 # --- selection and transport ----------------------------------------------------
 
 

@@ -49,6 +49,9 @@ class EvolveConfig:
     strategy: str = "largest_positive"
     score: str = "dense"
     random_only: bool = False
+    #: "table" keeps all scored candidates for the selection, "fused" the ``returned`` best.
+    candidate_backend: str = "table"
+    returned: int = 1024
     range_exit: str = "uniform"
     patience: int = 5
     full_recompute_every: int = 10
@@ -65,6 +68,8 @@ class EvolveResult:
 
 def evolve(syn: DataFrame, queries: DataFrame, state: DataFrame, schema: TableSchema, config: EvolveConfig) -> EvolveResult:
     """Edit ``syn`` (row_id, codes) so that its answers approach the targets in ``state``."""
+    if config.candidate_backend not in ("table", "fused"):
+        raise ValueError(f"unknown candidate backend {config.candidate_backend!r}")
     d, series, idle = schema.d, [], 0
     syn, state = _written(syn), _written(state)
     m = state.count()
@@ -81,8 +86,9 @@ def evolve(syn: DataFrame, queries: DataFrame, state: DataFrame, schema: TableSc
         else:
             scored = ev.score_dense(cands, delta, state, config.lambda_cost)
         scored = _written(scored)
+        returned = _written(ev.top_scored(scored, config.returned)) if config.candidate_backend == "fused" else scored
         clock.lap("score")
-        selected = _written(ev.select_nonconflicting(scored, config.accepted_per_iter, config.min_advantage))
+        selected = _written(ev.select_nonconflicting(returned, config.accepted_per_iter, config.min_advantage))
         accepted = _written(ev.choose_prefix(selected, delta, state, config.lambda_cost, config.strategy))
         clock.lap("select")
         if not accepted.isEmpty():
@@ -96,7 +102,8 @@ def evolve(syn: DataFrame, queries: DataFrame, state: DataFrame, schema: TableSc
                 log.warning("iteration %d: answers drifted by %s; the counted ones replace them", it, gap)
                 state = _written(state.drop("answer").join(counted, "qid").withColumn("residual", F.col("target") - F.col("answer")).select(*state.columns))
         clock.lap("recount")
-        row = report.iteration_row(it, clock.began, m, active.count(), config.total_candidates, scored, selected, accepted, state, config.min_advantage, gap)
+        n_active = active.count()
+        row = report.iteration_row(it, clock.began, m, n_active, 0 if config.random_only else n_active, config.total_candidates, scored, returned, selected, accepted, state, config.min_advantage, gap)
         clock.lap("report")
         series.append(row)
         log.info("iteration %d: loss %.6g, %d candidates, %.3f positive, %d accepted", it, row["measured_loss"], row["num_candidates"], row["positive_advantage_rate"], row["accepted_edits"])
@@ -248,6 +255,8 @@ def _run(spark: SparkSession, config: dict[str, Any], table: DataFrame | None, o
         "final_incremental_answer_drift": gap,
         **{k: n[k] for k in ("num_iterations", "num_candidates_scored", "num_candidates_requested", "num_candidate_shortfall", "num_accepted_edits")},
         "score_backend": econf.score,
+        "candidate_backend": econf.candidate_backend,
+        "positive_returned_rate_is_topk_biased": econf.candidate_backend == "fused",
         "transport_prefix_strategy": econf.strategy,
     }
     truth = bool(cfg.get(config, "evaluation.true_query_error", True))

@@ -25,6 +25,7 @@ COLUMNS, BINS = ("o_orderstatus", "o_orderpriority", "o_totalprice"), 8
 FAMILIES = ("oneway", "twoway", "prefix")
 VARIANCE, SIGMA, LAMBDA, GAMMA = 4.0, 2.0, 0.01, 0.1
 ACTIVE, PER_QUERY, ACCEPT = 10, 20, 24
+TOTAL, RANDOM_SHARE, RETURNED = 120, 0.1, 40
 
 _BUILT: dict[tuple, dict] = {}
 
@@ -149,10 +150,10 @@ def edit_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directed and random candidates by priority, in one plan."""
+    """Directed candidates by priority up to their share, then random ones, numbered in one plan."""
     w = _world(spark, sf_dir)
-    c = ev.candidates(w["syn"], w["active"], w["schema"], 120, f"{SEED}/batch", 0.1, 12, GAMMA)
-    return c.groupBy("repair_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("old") != F.col("new")).alias("changed"), F.count_distinct("cand_id").alias("ids"))
+    c = ev.candidates(w["syn"], w["active"], w["schema"], TOTAL, str(SEED), RANDOM_SHARE, PER_QUERY, GAMMA)
+    return _spread(c.select("cand_id", "row_id", "old", "new", "target_qid", "repair_type", r6(F.col("edit_cost"), "edit_cost")), "old", "new")
 
 
 def candidate_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,6 +173,11 @@ def score_target_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.score_target_only(w["cands"], w["queries"], w["state"], LAMBDA).select("cand_id", r6(F.col("advantage"), "advantage"))
 
 
+def returned_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of the scored candidates; each partition keeps its own best before they merge."""
+    return ev.top_scored(_scored(_world(spark, sf_dir))[0], RETURNED).select("cand_id", "row_id", r6(F.col("advantage"), "advantage"))
+
+
 def select_nonconflicting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T5."""
     return _selected(_world(spark, sf_dir))[0].select("rank", "cand_id", "row_id", r6(F.col("advantage"), "advantage"))
@@ -277,7 +283,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         init_independent, query_state, active_topk, active_fallback, sample_sources, enter_repair, exit_repair, random_mutation, edit_cost, candidate_batch, candidate_deltas,
-        score_dense, score_target_only, select_nonconflicting, batch_advantage, transport_prefix, transport_choice, apply_edits, incremental_answers, full_recompute_drift,
+        score_dense, score_target_only, returned_topk, select_nonconflicting, batch_advantage, transport_prefix, transport_choice, apply_edits, incremental_answers, full_recompute_drift,
         measured_loss, query_error, query_error_empty, metrics_by_family, evolve_loop,
     )
 }
@@ -391,6 +397,13 @@ _SCORED = f"""{_CANDS},
  moved AS MATERIALIZED (SELECT qid, target, answer + coalesce(s, 0) AS answer, target - answer - coalesce(s, 0) AS residual, answer AS initial_answer, residual AS initial_residual FROM state LEFT JOIN (SELECT qid, CAST(sum(delta) AS BIGINT) AS s FROM deltas JOIN accepted USING (cand_id) GROUP BY 1) USING (qid)),
  edited AS (SELECT syn.row_id, coalesce(n0, syn.c0) AS c0, coalesce(n1, syn.c1) AS c1, coalesce(n2, syn.c2) AS c2 FROM syn LEFT JOIN accepted ON syn.row_id = accepted.row_id)"""
 _MUTATE = _mutated(f"{SEED}/mutate", "row_id")[1]
+_PICK = sql_uniform(f"{SEED}/pick", "row_id")
+_CHANGED = "(c0 <> n0 OR c1 <> n1 OR c2 <> n2)"
+_BATCH = f"""{_CANDS},
+ directed AS (SELECT row_id, c0, c1, c2, n0, n1, n2, qid AS target_qid, repair_type, CAST(place AS DOUBLE) AS place FROM (SELECT * FROM entered UNION ALL SELECT * FROM exited) JOIN (SELECT qid, priority FROM {_priority(1.0)}) USING (qid)
+   WHERE {_CHANGED} ORDER BY priority DESC NULLS LAST, target_qid, place, row_id LIMIT {TOTAL - round(TOTAL * RANDOM_SHARE)}),
+ chance AS (SELECT row_id, c0, c1, c2, {', '.join(f'{x} AS n{i}' for i, x in enumerate(_MUTATE))}, -1 AS target_qid, 0 AS repair_type, {_PICK} AS place FROM (SELECT * FROM syn ORDER BY {_PICK}, row_id LIMIT {TOTAL}), ks),
+ batch AS (SELECT row_number() OVER (ORDER BY part, target_qid, place, row_id) - 1 AS cand_id, * FROM (SELECT 0 AS part, * FROM directed UNION ALL SELECT 1, * FROM chance WHERE {_CHANGED}))"""
 _N = "(SELECT CAST(count(*) AS DOUBLE) FROM orders)"
 
 
@@ -416,6 +429,8 @@ ORACLES = {
     "exit_repair": f"WITH {_WORLD}, {_CANDS} SELECT qid, row_id, n0 AS new0, n1 AS new1, n2 AS new2 FROM exited",
     "random_mutation": f"WITH {_WORLD} SELECT row_id, {', '.join(f'{x} AS new{i}' for i, x in enumerate(_MUTATE))} FROM syn, ks",
     "edit_cost": f"WITH {_WORLD}, {_CANDS} SELECT cand_id, row_id, {sql_r6('edit_cost', 'edit_cost')}, c0 AS old0, c1 AS old1, c2 AS old2, n0 AS new0, n1 AS new1, n2 AS new2 FROM cands",
+    "candidate_batch": f"WITH {_WORLD}, {_BATCH} SELECT cand_id, row_id, target_qid, repair_type, {sql_r6(_COST, 'edit_cost')}, c0 AS old0, c1 AS old1, c2 AS old2, n0 AS new0, n1 AS new1, n2 AS new2 FROM batch, ks WHERE cand_id < {TOTAL}",
+    "returned_topk": f"WITH {_WORLD}, {_SCORED} SELECT cand_id, row_id, {sql_r6('advantage', 'advantage')} FROM (SELECT * FROM scored ORDER BY advantage DESC, cand_id LIMIT {RETURNED})",
     "candidate_deltas": f"WITH {_WORLD}, {_SCORED} SELECT cand_id, qid, delta FROM deltas",
     "score_dense": f"WITH {_WORLD}, {_SCORED} SELECT cand_id, {sql_r6('advantage', 'advantage')} FROM scored",
     "score_target_only": f"WITH {_WORLD}, {_SCORED} SELECT c.cand_id, {sql_r6(f'coalesce(delta, 0) * residual / {VARIANCE} - 0.5 * coalesce(delta * delta, 0) / {VARIANCE} - {LAMBDA}::DOUBLE * edit_cost', 'advantage')} FROM cands c JOIN state s ON s.qid = target_qid LEFT JOIN deltas d ON d.cand_id = c.cand_id AND d.qid = target_qid",

@@ -53,19 +53,21 @@ def run_log(path: str) -> Iterator[None]:
 # --- iterations ---------------------------------------------------------------
 
 
-def iteration_row(it: int, began: float, m: int, active: int, requested: int, scored: DataFrame, selected: DataFrame, accepted: DataFrame, state: DataFrame, least: float, drift: float | None) -> dict[str, Any]:
-    """The series row of an iteration, from four small aggregates.
+def iteration_row(it: int, began: float, m: int, active: int, attempts: int, requested: int, scored: DataFrame, returned: DataFrame, selected: DataFrame, accepted: DataFrame, state: DataFrame, least: float, drift: float | None) -> dict[str, Any]:
+    """The series row of an iteration, from a few small aggregates.
 
-    Each active query is one attempt to find rows that an edit can help; it
-    failed where no candidate is left that aims at it.
+    Candidates are counted as returned, which are the best of the scored ones
+    if there is such a cut.  ``attempts`` are the active queries for which
+    rows that an edit can help were looked for; one failed where no candidate
+    is left that aims at it.
     """
     n = F.count(F.lit(1))
     directed = F.col("repair_type") != RANDOM
     c = scored.agg(n.alias("all"), F.count_if(F.col("advantage") > least).alias("positive"), F.count_if(directed).alias("directed"), F.count_distinct(F.when(directed, F.col("target_qid"))).alias("aims")).first()
+    back = c if returned is scored else returned.agg(n.alias("all"), F.count_if(F.col("advantage") > least).alias("positive")).first()
     a = accepted.agg(n.alias("n"), F.avg("advantage").alias("mean"), F.max("batch_advantage").alias("batch")).first()
     r = state.agg(F.coalesce(F.sum(metrics.loss_column()), F.lit(0.0)).alias("loss"), F.coalesce(F.sum(F.abs("residual")), F.lit(0.0)).alias("l1"), F.coalesce(F.sqrt(F.sum(F.col("residual") * F.col("residual"))), F.lit(0.0)).alias("l2")).first()
     rate = c["positive"] / max(1, c["all"])
-    aimed = active if c["directed"] or c["all"] < requested else 0
     return {
         "iteration": it,
         "wall_time": time.perf_counter() - began,
@@ -74,22 +76,21 @@ def iteration_row(it: int, began: float, m: int, active: int, requested: int, sc
         "residual_l2": r["l2"],
         "residual_l1": float(r["l1"]),
         "active_queries": active,
-        "num_candidates": c["all"],
+        "num_candidates": back["all"],
         "candidates_scored_this_iter": c["all"],
         "positive_advantage_rate": rate,
-        # All scored candidates stay in the table, so what is returned is what was scored.
-        "positive_returned_rate": rate,
+        "positive_returned_rate": back["positive"] / max(1, back["all"]),
         "selected_nonconflicting": selected.count(),
         "accepted_edits": a["n"],
-        "accepted_rate": a["n"] / max(1, c["all"]),
+        "accepted_rate": a["n"] / max(1, back["all"]),
         "mean_advantage": a["mean"] or 0.0,
         "batch_advantage": a["batch"] or 0.0,
         "requested_candidates": requested,
         "directed_candidates": c["directed"],
         "random_candidates": c["all"] - c["directed"],
         "candidate_shortfall": max(0, requested - c["all"]),
-        "source_filter_attempts": aimed,
-        "source_filter_failures": max(0, aimed - c["aims"]),
+        "source_filter_attempts": attempts,
+        "source_filter_failures": max(0, attempts - c["aims"]),
         "incremental_answer_drift": None if drift is None else float(drift),
     }
 
@@ -139,7 +140,7 @@ def totals(series: list[dict[str, Any]]) -> dict[str, int]:
     }
     out = {name: int(sum(r[c] for r in series)) for name, c in sums.items()}
     positive = round(sum(r["positive_returned_rate"] * r["num_candidates"] for r in series))
-    return {"num_iterations": len(series), **out, "num_candidates_returned_to_cpu": out["num_candidates_scored"], "num_positive_returned_candidates": positive}
+    return {"num_iterations": len(series), **out, "num_candidates_returned_to_cpu": sum(r["num_candidates"] for r in series), "num_positive_returned_candidates": positive}
 
 
 def efficiency(n: dict[str, int], loss_reduction: float, seconds: float) -> dict[str, float]:

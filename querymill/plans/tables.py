@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querymill.functions.lineage import new_folder
 from querymill.operators import encode as enc
 from querymill.operators.schema import CATEGORICAL
 from querymill.plans import base
 from querymill.plans.base import BINS, COLUMNS, ENC, r6, sql_bin, sql_edges, sql_r6
+from querymill.sources import tables as sources
 
 # Literal rows with missing values and texts that are no numbers.
 ODD = [(1, "b", "5"), (2, None, "5d"), (3, "", " 7.5 "), (4, "?", "nan"), (5, " ?", None), (6, "é", "1e2"), (7, "Z", "-0.5"), (8, "z", ""), (9, "b", "Infinity"), (10, "😀", "+3"), (11, "a", ".5"), (12, "b", "5.")]
@@ -20,6 +22,19 @@ def _odd(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ODD, "id int, cat string, num string")
 
 
+# Texts by c_custkey % 8: missing ones, and such as a reader must leave alone.
+CSV_TEXTS = (None, "NA", "n/a", "#N/A", "", " padded ", 'say ""so"", or "not"', "na\\")
+
+
+def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table written as CSV and read again: all texts, and the missing ones null."""
+    df = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    note = F.get(F.array(*map(F.lit, CSV_TEXTS)), (F.col("c_custkey") % len(CSV_TEXTS)).cast("int"))
+    path = new_folder(spark, "csv")
+    sources.write_csv(df.select("c_custkey", "c_nationkey", "c_mktsegment", note.alias("note")), path)
+    return sources.read_csv(spark, path)
+
+
 def encode_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sorted categories and their codes."""
     df = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -100,7 +115,7 @@ def decode_out_of_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (encode_categorical, encode_missing, sorted_categories, encode_small_domain, quantile_edges, encode_quantile_bins, degenerate_bins, bin_medians, infer_column_kind, decode_roundtrip, decode_out_of_range)
+    for f in (csv_scan, encode_categorical, encode_missing, sorted_categories, encode_small_domain, quantile_edges, encode_quantile_bins, degenerate_bins, bin_medians, infer_column_kind, decode_roundtrip, decode_out_of_range)
 }
 
 _CATEGORY = "CASE WHEN cat IS NULL OR cat IN ('', '?') THEN '__MISSING__' ELSE cat END"
@@ -115,6 +130,8 @@ def _kind(c: str, listed: bool = False) -> str:
 
 CATEGORICAL_TEXT = ("l_returnflag", "l_linestatus")
 ORACLES = {
+    "csv_scan": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment, "
+    "CASE c_custkey % 8 WHEN 5 THEN ' padded ' WHEN 6 THEN 'say \"\"so\"\", or \"not\"' WHEN 7 THEN 'na\\' END AS note FROM customer",
     "encode_categorical": "SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INTEGER) AS brand_code, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS INTEGER) AS type_code FROM part",
     "encode_missing": f"""WITH {_ODD_SQL}, v AS (SELECT CAST(id AS BIGINT) AS id, {_CATEGORY} AS category, {_NUMBER} AS number FROM odd),
       n AS (SELECT number AS x, row_number() OVER (ORDER BY number) - 1 AS code FROM (SELECT DISTINCT number FROM v WHERE number IS NOT NULL))

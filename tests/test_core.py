@@ -4,17 +4,20 @@ import csv
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from querymill import shipping
 from querymill.operators import answer as ans
 from querymill.operators import catalogue as cat
 from querymill.operators import encode as enc
+from querymill.operators import evolve as ev
 from querymill.operators import metrics, privacy, projection
 from querymill.operators import workload as wl
-from querymill.operators.predicates import between, eq, ge, le
+from querymill.operators.predicates import between, eq, ge, holds, le
 from querymill.operators.schema import TableSchema
 from querymill.plans import engine
 from querymill.sources import config as cfg
+from querymill.sources import tables
 
 
 def test_scalars_and_overrides():
@@ -85,7 +88,7 @@ def test_schema_round_trip_and_missing(spark):
 def test_whole_run(spark, tmp_path):
     from querymill.cli import SMOKE, smoke_table
 
-    config = cfg.apply_overrides(SMOKE, ["--run.output_dir", str(tmp_path), "--evolve.max_iters", "2", "--evolve.lambda_cost", "0.0"])
+    config = cfg.apply_overrides(SMOKE, ["--run.output_dir", str(tmp_path), "--evolve.max_iters", "2", "--evolve.lambda_cost", "0.0", "--evolve.candidate_backend", "fused", "--evolve.returned", "50"])
     report = engine.run(spark, config, smoke_table(spark, 120))
     assert report["final_incremental_answer_drift"] == 0 and report["final_measured_loss"] <= report["initial_measured_loss"]
     assert report["true_query_mae"] == report["final_true_query_mae"] and report["heldout_num_queries"] > 0
@@ -94,12 +97,12 @@ def test_whole_run(spark, tmp_path):
         series = list(csv.DictReader(f))
     assert len(series) == report["num_iterations"] == 2 and len(series[0]) == 23
     for r in series:
-        got, asked = int(r["num_candidates"]), int(r["requested_candidates"])
+        got, asked = int(r["candidates_scored_this_iter"]), int(r["requested_candidates"])
         assert int(r["directed_candidates"]) + int(r["random_candidates"]) == got and int(r["candidate_shortfall"]) == asked - got
-        assert int(r["accepted_edits"]) <= int(r["selected_nonconflicting"]) <= got
+        assert int(r["accepted_edits"]) <= int(r["selected_nonconflicting"]) <= int(r["num_candidates"]) <= 50
     assert float(series[-1]["measured_loss"]) == pytest.approx(report["final_measured_loss"])
     runtime = cfg.read_json(str(tmp_path / "runtime.json"))
-    funnel = [runtime["candidate_funnel"][k] for k in ("requested", "scored", "positive_returned", "selected_nonconflicting", "accepted")]
+    funnel = [runtime["candidate_funnel"][k] for k in ("requested", "scored", "returned_to_cpu", "positive_returned", "selected_nonconflicting", "accepted")]
     assert funnel == sorted(funnel, reverse=True) and funnel[-1] == report["num_accepted_edits"]
     work = cfg.read_json(str(tmp_path / "workload_summary.json"))
     assert sum(work["num_queries_by_family"].values()) == work["total_queries"] == report["num_queries"]
@@ -119,3 +122,74 @@ def test_whole_run(spark, tmp_path):
 def test_shipping_once(spark):
     shipping.ship(spark)
     shipping.ship(spark)
+
+
+def test_csv_with_line_breaks(spark, tmp_path):
+    text = 'a,b\n1,"two\nlines, and ""quotes"""\nNA, x \n'
+    (tmp_path / "t.csv").write_text(text)
+    got = [tuple(r) for r in tables.read_csv(spark, str(tmp_path / "t.csv"), multiline=True).collect()]
+    assert got == [("1", 'two\nlines, and "quotes"'), (None, " x ")]
+    assert tables.read_table(spark, str(tmp_path / "t.csv")).columns == ["a", "b"]
+
+
+CARDS = [4, 8, 8]
+
+
+def repaired(spark, terms, codes=(1, 3, 5)):
+    """Codes after an enter and an exit for one query, drawn with 20 salts."""
+    q = cat.QueryBuilder()
+    assert q.add(terms, "q", "g", "f")
+    rows = q.build(spark).select("qid", "terms").withColumn("row_id", F.explode(F.sequence(F.lit(0), F.lit(19)))).withColumn("codes", F.array(*map(F.lit, codes)))
+    rows = ev.with_exit(ev.with_enter(rows, CARDS, "t/enter", "qid", "row_id"), CARDS, "t/exit", "qid", "row_id")
+    return rows.select("terms", "codes", "entered", "left", holds("entered", "terms").alias("in_"), holds("left", "terms").alias("out_"), holds("codes", "terms").alias("was")).collect()
+
+
+@pytest.mark.parametrize("terms", [[eq(0, 2)], [le(1, 2)], [ge(2, 6)], [between(1, 5, 6)], [eq(0, 3), between(2, 0, 2)]])
+def test_an_enter_holds_and_stays_in_the_domain(spark, terms):
+    for r in repaired(spark, terms):
+        assert r["in_"] and all(0 <= x < k for x, k in zip(r["entered"], CARDS))
+        touched = {t["attr"] for t in r["terms"]}
+        assert all(a == b for i, (a, b) in enumerate(zip(r["codes"], r["entered"])) if i not in touched)
+
+
+@pytest.mark.parametrize("terms", [[eq(0, 1)], [le(1, 3)], [ge(2, 5)], [between(1, 2, 4)], [eq(0, 1), between(2, 4, 6)]])
+def test_an_exit_breaks_one_term(spark, terms):
+    for r in repaired(spark, terms):
+        assert r["was"] and not r["out_"] and all(0 <= x < k for x, k in zip(r["left"], CARDS))
+        assert sum(a != b for a, b in zip(r["codes"], r["left"])) == 1
+
+
+def test_an_exit_without_a_way_out_mutates(spark):
+    for r in repaired(spark, [le(1, 7)]):
+        assert r["out_"] is True and sum(a != b for a, b in zip(r["codes"], r["left"])) == 1
+
+
+def transported(spark):
+    """Two edits that each help alone and harm together, and a third for another query."""
+    state = spark.createDataFrame([(0, 1.0, 1.0), (1, 2.0, 1.0)], "qid int, residual double, inv_variance double")
+    selected = spark.createDataFrame([(10, 1, 0, 0.1, 0.5), (11, 2, 1, 0.1, 0.4), (12, 3, 2, 0.1, 1.4)], "cand_id long, rank int, row_id long, edit_cost double, advantage double")
+    delta = spark.createDataFrame([(10, 0, 1), (11, 0, 1), (12, 1, 1)], "cand_id long, qid int, delta int")
+    return state, selected, delta
+
+
+def test_prefixes_count_interaction(spark):
+    state, selected, delta = transported(spark)
+    got = [r["prefix_advantage"] for r in ev.prefix_advantages(selected, delta, state, 0.1).orderBy("rank").collect()]
+    assert got == pytest.approx([0.5 - 0.01, 0.0 - 0.02, 1.5 - 0.03])
+    assert ev.batch_advantage(selected, delta, state, 0.1).first()["advantage"] == pytest.approx(got[-1])
+
+
+def test_prefix_strategies(spark):
+    state, selected, delta = transported(spark)
+    assert ev.choose_prefix(selected, delta, state, 0.1, "largest_positive").count() == 3
+    short = selected.where("rank < 3")
+    assert [r["cand_id"] for r in ev.choose_prefix(short, delta, state, 0.1, "best_advantage").collect()] == [10]
+    assert ev.choose_prefix(selected, delta, state, 100.0).count() == 0
+    with pytest.raises(ValueError):
+        ev.choose_prefix(selected, delta, state, 0.1, "none")
+
+
+def test_best_scored_breaks_ties_by_id(spark):
+    s = spark.createDataFrame([(3, 1.0), (1, 1.0), (2, 0.5), (4, 2.0)], "cand_id long, advantage double")
+    assert [r["cand_id"] for r in ev.top_scored(s, 3).collect()] == [4, 1, 3]
+    assert ev.top_scored(s, 0).count() == 0
