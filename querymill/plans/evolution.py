@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querymill.functions.lineage import written
+from querymill.functions.lineage import new_folder, written
 from querymill.operators import answer as ans
 from querymill.operators import encode as enc
 from querymill.operators import evolve as ev
@@ -279,12 +279,52 @@ def evolve_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.drop("wall_time")
 
 
+RUN_VALUES = (
+    "num_rows_real", "num_rows_synthetic", "num_columns", "num_queries", "num_measurement_groups", "initial_measured_loss", "initial_rms_standardized_residual",
+    "initial_true_query_mae", "initial_true_query_max_error", "final_incremental_answer_drift", "num_iterations",
+)
+RUN_ITERS = 2
+
+
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run without noise; what its files say of the first table, and what must hold at the end."""
+    from querymill.plans import engine, report
+    from querymill.sources import config as cfg
+
+    table = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", *COLUMNS)
+    out = new_folder(spark, "run").removeprefix("file:")
+    config = {
+        "run": {"output_dir": out, "seed": SEED},
+        "preprocess": {"id_column": "o_orderkey", "numerical_bins": BINS, "numerical_columns": COLUMNS[2:], "categorical_columns": COLUMNS[:2]},
+        "workload": {"families": FAMILIES},
+        "privacy": {"mode": "oracle", "oracle_variance": VARIANCE},
+        "evolve": {"max_iters": RUN_ITERS, "accepted_per_iter": ACCEPT, "num_active": ACTIVE, "total_candidates": TOTAL, "per_target": PER_QUERY, "full_recompute_every": 1, "patience": RUN_ITERS + 1},
+        "evaluation": {"heldout": True, "save_synthetic_csv": False},
+    }
+    engine.run(spark, config, table)
+    final, runtime, work, held, families = (cfg.read_json(f"{out}/{f}.json") for f in ("metrics_final", "runtime", "workload_summary", "metrics_holdout", "metrics_by_family"))
+    series = spark.read.csv(f"{out}/metrics_timeseries.csv", header=True, schema=report.SERIES).orderBy("iteration").collect()
+    rows = [(k, float(final[k])) for k in RUN_VALUES]
+    rows += [(f"initial_measured_loss of {f}", v["initial_measured_loss"]) for f, v in families.items()]
+    rows += [(f"{k} of {f}", float(n)) for k in ("num_queries_by_family", "num_groups_by_family") for f, n in work[k].items()]
+    rows += [(k, float(work[k])) for k in ("num_2way_pairs_possible", "num_2way_cells_possible", "num_2way_queries_constructed")]
+    holds_ = {
+        "losses never rise": all(b <= a + 1e-6 for a, b in zip([final["initial_measured_loss"], *[r["measured_loss"] for r in series]], [r["measured_loss"] for r in series])),
+        "last loss is reported": abs(series[-1]["measured_loss"] - final["final_measured_loss"]) < 1e-6,
+        "edits add up": sum(r["accepted_edits"] for r in series) == final["num_accepted_edits"] == runtime["candidate_funnel"]["accepted"],
+        "candidates add up": sum(r["directed_candidates"] + r["random_candidates"] for r in series) == final["num_candidates_scored"],
+        "held-out queries are other ones": held["num_queries"] == final["heldout_num_queries"],
+    }
+    rows += [(k, float(v)) for k, v in holds_.items()]
+    return spark.createDataFrame(rows, "name string, x double").select("name", r6(F.col("x"), "value"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         init_independent, query_state, active_topk, active_fallback, sample_sources, enter_repair, exit_repair, random_mutation, edit_cost, candidate_batch, candidate_deltas,
         score_dense, score_target_only, returned_topk, select_nonconflicting, batch_advantage, transport_prefix, transport_choice, apply_edits, incremental_answers, full_recompute_drift,
-        measured_loss, query_error, query_error_empty, metrics_by_family, evolve_loop,
+        measured_loss, query_error, query_error_empty, metrics_by_family, evolve_loop, run_report,
     )
 }
 
@@ -446,3 +486,29 @@ ORACLES = {
     "query_error_empty": "SELECT 0.0::DOUBLE AS mae, 0.0::DOUBLE AS rmse, 0.0::DOUBLE AS max_error",
     "metrics_by_family": f"WITH {_WORLD}, {_SCORED} SELECT family, count(*) AS num_queries, {sql_r6(f'sum(0.5 * initial_residual * initial_residual / {VARIANCE})', 'initial_loss')}, {sql_r6(f'sum({_LOSS})', 'final_loss')}, {_errors('answer')}, {sql_r6(f'sum(0.5 * initial_residual * initial_residual / {VARIANCE}) - sum({_LOSS})', 'loss_reduction')} FROM moved JOIN q USING (qid) GROUP BY 1",
 }
+
+_FIRST = f"0.5 * residual * residual / {VARIANCE}"
+_FIRST_ERROR = f"abs(target / {_N} - answer / {_N})"
+_RUN = {
+    "num_rows_real": f"SELECT {_N}",
+    "num_rows_synthetic": f"SELECT {_N}",
+    "num_columns": "SELECT count(*) FROM attrs",
+    "num_queries": "SELECT count(*) FROM q",
+    "num_measurement_groups": "SELECT sum(n) FROM sizes",
+    "initial_measured_loss": f"SELECT sum({_FIRST}) FROM state",
+    "initial_rms_standardized_residual": f"SELECT sqrt(2 * sum({_FIRST}) / count(*)) FROM state",
+    "initial_true_query_mae": f"SELECT avg({_FIRST_ERROR}) FROM state",
+    "initial_true_query_max_error": f"SELECT max({_FIRST_ERROR}) FROM state",
+    "final_incremental_answer_drift": "SELECT 0",
+    "num_iterations": f"SELECT {RUN_ITERS}",
+    "num_2way_pairs_possible": "SELECT count(*) FROM attrs x JOIN attrs y ON x.attr < y.attr",
+    "num_2way_cells_possible": "SELECT sum(x.k * y.k) FROM attrs x JOIN attrs y ON x.attr < y.attr",
+    "num_2way_queries_constructed": "SELECT count(*) FROM q WHERE family = 'twoway'",
+    **{k: "SELECT 1" for k in ("losses never rise", "last loss is reported", "edits add up", "candidates add up", "held-out queries are other ones")},
+}
+ORACLES["run_report"] = f"""WITH {_WORLD}, sizes AS (SELECT family, count(DISTINCT CASE family WHEN 'twoway' THEN a1 * 3 + a2 ELSE a1 END) AS n FROM q GROUP BY 1),
+ told AS ({' UNION ALL '.join(f"SELECT '{k}' AS name, CAST(({v}) AS DOUBLE) AS x" for k, v in _RUN.items())}
+  UNION ALL SELECT 'initial_measured_loss of ' || family, sum({_FIRST}) FROM state JOIN q USING (qid) GROUP BY family
+  UNION ALL SELECT 'num_queries_by_family of ' || family, count(*) FROM q GROUP BY family
+  UNION ALL SELECT 'num_groups_by_family of ' || family, n FROM sizes)
+ SELECT name, {sql_r6('x', 'value')} FROM told"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from querymill.operators import encode as enc
 from querymill.operators.schema import CATEGORICAL
 from querymill.plans import base
 from querymill.plans.base import BINS, COLUMNS, ENC, r6, sql_bin, sql_edges, sql_r6
+from querymill.sources import config as cfg
 from querymill.sources import tables as sources
 
 # Literal rows with missing values and texts that are no numbers.
@@ -35,6 +38,18 @@ def csv_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.read_csv(spark, path)
 
 
+def config_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A configuration written as YAML, read, overridden, and read again as JSON; a row for each leaf."""
+    path = new_folder(spark, "config").removeprefix("file:")
+    cfg.save_yaml({"a": {"b": 1, "text": "x y"}, "list": [1, 2.5]}, f"{path}/c.yaml")
+    tokens = ["--a.b", "2", "--a.c=true", "--d.e.f", "1e-3", "--g", "None", "--list", "z", "--h=-7", "--i", "--j"]
+    cfg.write_json(cfg.apply_overrides(cfg.load_yaml(f"{path}/c.yaml"), tokens), f"{path}/out/c.json")
+    found = cfg.read_json(f"{path}/out/c.json")
+    rows = [(k, type(v).__name__, json.dumps(v)) for k in ("a.b", "a.c", "a.text", "d.e.f", "g", "h", "i", "list") for v in [cfg.require(found, k)]]
+    rows.append(("missing", "str", json.dumps(cfg.get(found, "a.none", "default"))))
+    return spark.createDataFrame(rows, "name string, kind string, value string")
+
+
 def encode_categorical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sorted categories and their codes."""
     df = spark.read.parquet(f"{sf_dir}/part.parquet")
@@ -115,7 +130,7 @@ def decode_out_of_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (csv_scan, encode_categorical, encode_missing, sorted_categories, encode_small_domain, quantile_edges, encode_quantile_bins, degenerate_bins, bin_medians, infer_column_kind, decode_roundtrip, decode_out_of_range)
+    for f in (csv_scan, config_values, encode_categorical, encode_missing, sorted_categories, encode_small_domain, quantile_edges, encode_quantile_bins, degenerate_bins, bin_medians, infer_column_kind, decode_roundtrip, decode_out_of_range)
 }
 
 _CATEGORY = "CASE WHEN cat IS NULL OR cat IN ('', '?') THEN '__MISSING__' ELSE cat END"
@@ -130,6 +145,8 @@ def _kind(c: str, listed: bool = False) -> str:
 
 CATEGORICAL_TEXT = ("l_returnflag", "l_linestatus")
 ORACLES = {
+    "config_values": """SELECT * FROM (VALUES ('a.b', 'int', '2'), ('a.c', 'bool', 'true'), ('a.text', 'str', '"x y"'), ('d.e.f', 'float', '0.001'), ('g', 'NoneType', 'null'),
+      ('h', 'int', '-7'), ('i', 'str', '"--j"'), ('list', 'str', '"z"'), ('missing', 'str', '"default"')) v(name, kind, value)""",
     "csv_scan": "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment, "
     "CASE c_custkey % 8 WHEN 5 THEN ' padded ' WHEN 6 THEN 'say \"\"so\"\", or \"not\"' WHEN 7 THEN 'na\\' END AS note FROM customer",
     "encode_categorical": "SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INTEGER) AS brand_code, CAST(dense_rank() OVER (ORDER BY p_type) - 1 AS INTEGER) AS type_code FROM part",
