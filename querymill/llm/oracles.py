@@ -1,14 +1,15 @@
 """DuckDB SQL for the operators that SQL can express, on whole tables.
 
 Latent vectors, networks, byte-pair merges, tokenizer counts and graph search
-are beyond it; 20-word windows and shingle sets are tested on small fixtures
-against plain versions, as SQL is too slow on whole tables.
+are beyond it.  Windows and shingles are compared as texts here, not as fingerprints.
 """
 
 from __future__ import annotations
 
 from querymill.llm.mixing import MOST_COPIES, SALT
+from querymill.llm.ngram_join import DENOMINATOR, NUMERATOR, WIDTH
 from querymill.llm.quality_rules import HOST_LIMIT
+from querymill.llm.substring_dedup import MIN_WORDS
 from querymill.llm.url_filter import RULES, SOFT, SOFT_TERMS, SOFT_WEIGHT, STRICT
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -60,8 +61,30 @@ o AS (SELECT *, sum(size) OVER (ORDER BY v, source NULLS FIRST, h, doc_id, size,
 t AS (SELECT rid, sum(size) AS taken FROM o WHERE upto - size / 2 <= (SELECT sum(size) FROM d) GROUP BY 1)
 SELECT doc_id, size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM c LEFT JOIN t USING (rid)"""
 
+_OP5 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i : i + {MIN_WORDS - 1}], ' ') AS k FROM d, LATERAL (SELECT unnest(range(1, len(w) - {MIN_WORDS - 2})) AS i)),
+rep AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+cov AS (SELECT DISTINCT doc_id, i + j AS i FROM rep, (SELECT unnest(range(0, {MIN_WORDS})) AS j)),
+word AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN cov USING (doc_id, i) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id"""
+
+_OP10 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{WORD}') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + {WIDTH - 1}], ' ') AS k FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - {WIDTH - 2}, least(len(w), 1) + 1))) AS i)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM sh x JOIN sh y ON x.k = y.k AND x.doc_id <> y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM both_ JOIN n na ON a = na.doc_id JOIN n nb ON b = nb.doc_id WHERE {DENOMINATOR} * i >= {NUMERATOR} * (na.n + nb.n - i)),
+reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(c, d.doc_id)) AS component_id
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN (SELECT a, min(b) AS c FROM reach GROUP BY 1) r ON d.doc_id = r.a"""
+
 ORACLES: dict[str, str] = {
     "op1_quality_rules": _OP1,
     "op3_url_filter": _OP3,
+    "op5_substring_dedup": _OP5,
     "op6_mix_sources": _OP6,
+    "op10_jaccard_join": _OP10,
 }
