@@ -14,8 +14,8 @@ precision on the original vectors.
 
 Defined cases: vectors that are null, empty, zero, or hold a null or non-finite
 component take no part, nor do those whose length is not the most frequent one
-(the smaller of equals), as a cosine needs equal lengths; fewer candidates than asked give fewer rows; ties go to
-the smaller id; repeated rows of one id and vector count as one; an empty table
+(the smaller of equals), as a cosine needs equal lengths; fewer candidates than
+asked give fewer rows; ties go to the smaller id; repeated rows of one id and vector count as one; an empty table
 gives an empty result; further columns are ignored; very long vectors are as any.
 
 What bounds it: DEGREE forward and as many reverse neighbours of a node, chosen

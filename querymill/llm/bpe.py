@@ -1,8 +1,9 @@
 """Byte-level BPE: encoding by a contiguous rank array, and decoding.
 
 Defined cases: a null text counts as empty and has no ids; special tokens of
-the vocabulary that stand in a text are one id each; an empty table gives an
-empty result; repeated rows are encoded alike; further columns are kept, and
+the vocabulary that stand in a text are one id each; of equal ranks the first
+pair of a word merges first; a very long text is read whole, and a very long word
+by a heap; an empty table gives an empty result; repeated rows are encoded alike; further columns are kept, and
 those named like a result column are replaced.
 """
 

@@ -10,9 +10,11 @@ blocks, and its nearest vote with their similarity as weight.
 
 Defined cases: a null or empty text, and any text without a trigram, scores the
 share of label 1 in the sample (0.5 if nothing was learned); a label that is
-null is left out; with several labels of a document each is learned; an empty
-table gives an empty result; repeated rows score alike; further columns are
-kept, and those named like a result column are replaced.
+null is left out; with several labels of a document each is learned; of equally
+similar neighbours the earlier ones in the sample, which is ordered by a hash of
+the id, vote; a very long text is read whole, in stretches; an empty table gives
+an empty result; repeated rows score alike; further columns are kept, and those
+named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ COLUMNS = BUCKETS + SHARES * STEPS
 SHAPE = 0.9
 RANK = 48
 NEIGHBOURS = 25
+#: Similarities are compared in millionths, so that the order of additions hardly ever decides.
+DIGITS = 1_000_000
 #: Similarities are raised to this power before they weigh a vote.
 SHARPNESS = 4
 THRESHOLD = 0.3
@@ -107,15 +111,16 @@ class KnnModel:
     def scores(self, v: np.ndarray) -> np.ndarray:
         """Weighted votes of the nearest; a vector of zeros gets the base share."""
         k = min(NEIGHBOURS, len(self.vectors))
-        best = np.full((len(v), k), -2, np.float32)
-        vote = np.zeros((len(v), k), np.float32)
+        # One number orders by similarity and, among equal ones, by place in the sample: it is exact, and tells both.
+        places = 1 << len(self.vectors).bit_length()
+        best = np.full((len(v), k), -np.inf)
         for i in range(0, len(self.vectors), BLOCK):
-            s = v @ self.vectors[i : i + BLOCK].T
-            both = np.concatenate([best, s], axis=1)
-            own = np.concatenate([vote, np.broadcast_to(self.labels[i : i + BLOCK], s.shape)], axis=1)
-            top = np.argpartition(-both, k - 1, axis=1)[:, :k]
-            best, vote = np.take_along_axis(both, top, 1), np.take_along_axis(own, top, 1)
-        w = np.maximum(best, 0).astype(np.float64) ** SHARPNESS
+            s = np.rint((v @ self.vectors[i : i + BLOCK].T).astype(np.float64) * DIGITS)
+            both = np.concatenate([best, s * places - np.arange(i, i + s.shape[1])], axis=1)
+            best = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+        s = np.ceil(best / places)
+        vote = self.labels[(s * places - best).astype(np.int64)]
+        w = np.maximum(s / DIGITS, 0) ** SHARPNESS
         total = w.sum(axis=1)
         out = np.where(total > 0, (w * vote).sum(axis=1) / np.maximum(total, 1e-30), self.base)
         return np.where((v != 0).any(axis=1), np.clip(out, 0, 1), self.base)

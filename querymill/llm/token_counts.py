@@ -8,7 +8,8 @@ vocabulary has a space after another character, so no merge of the whole text
 crosses it.  Where an overlap has no such position the next chunk begins at the
 same place and the overlap is widened, up to the rest of the text.
 
-Defined cases: a null text counts as empty, with 0 bytes and tokens; an empty
+Defined cases: a null text counts as empty, with 0 bytes and tokens; a very long
+text is encoded whole, in chunks; exactly the limit is not over it; an empty
 table gives an empty result; repeated rows are counted alike; further columns
 are kept, and those named like a result column are replaced.
 """

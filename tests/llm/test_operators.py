@@ -279,6 +279,38 @@ def test_language_and_quality_on_held_out_rows(spark):
     assert q.where("held_out").agg(F.avg((F.col("quality") == F.col("predicted")).cast("int"))).first()[0] > 0.9
 
 
+def test_votes_equal_all_cosines_one_by_one(spark):
+    """Each document of a table against each labelled vector, and ties at the last place that votes."""
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    m = quality_knn.fit(d, labels)
+    texts = [r["text"] for r in d.orderBy("doc_id").collect()] + ["", "ab"]
+    latent = m.latent(quality_knn.features([(t or "").encode() for t in texts]))
+    got = m.scores(latent)
+    assert len(m.vectors) > quality_knn.NEIGHBOURS
+    for v, g in zip(latent, got):
+        near = sorted((-round(float(np.float32(v @ u)) * 1e6), i) for i, u in enumerate(m.vectors))[: quality_knn.NEIGHBOURS]
+        w = [max(-s / 1e6, 0) ** quality_knn.SHARPNESS for s, _ in near]
+        want = sum(a * m.labels[i] for a, (_, i) in zip(w, near)) / sum(w) if sum(w) and v.any() else m.base
+        assert abs(g - want) < 1e-4
+    by_query = {r["doc_id"]: r["score"] for r in quality_knn.classify(d, labels).collect()}
+    assert max(abs(by_query[r["doc_id"]] - s) for r, s in zip(d.orderBy("doc_id").collect(), got)) < 1e-4
+
+
+@pytest.mark.parametrize("copies_", [10, 3000])
+def test_equal_neighbours_vote_in_the_order_of_the_sample(copies_):
+    """The near ones fill the places of several blocks; of the equal rest the first ones vote."""
+    near, other = np.eye(2, dtype=np.float32)
+    vectors = np.array([other] * 5 + [near] * copies_ + [other] * 2000)
+    labels = (np.arange(len(vectors)) % 3 == 0).astype(np.float32)
+    m = quality_knn.KnnModel(np.ones(1), np.eye(2), vectors, labels, 0.5)
+    v = np.array([[0.8, 0.6]], np.float32)
+    first = list(range(5, 5 + min(copies_, quality_knn.NEIGHBOURS)))
+    rest = [i for i in range(len(vectors)) if not 5 <= i < 5 + copies_][: quality_knn.NEIGHBOURS - len(first)]
+    w = np.array([0.8] * len(first) + [0.6] * len(rest)) ** quality_knn.SHARPNESS
+    assert abs(m.scores(v)[0] - (w * labels[first + rest]).sum() / w.sum()) < 1e-6
+
+
 def test_nothing_to_learn_from(spark):
     d = spark.createDataFrame([(i, t, None) for i, t in enumerate(ODD_TEXTS)], "doc_id long, text string, lang string")
     assert {r["lang_pred"] for r in language_id.identify(d).collect()} == {"und"}
