@@ -3,8 +3,9 @@
 Defined cases: a null text counts as empty and has no ids; special tokens of
 the vocabulary that stand in a text are one id each; of equal ranks the first
 pair of a word merges first; a very long text is read whole, and a very long word
-by a heap; an empty table gives an empty result; repeated rows are encoded alike; further columns are kept, and
-those named like a result column are replaced.
+by a heap; an empty table gives an empty result; repeated rows are encoded
+alike; further columns are kept, and those named like a result column are
+replaced.
 """
 
 from __future__ import annotations
@@ -166,8 +167,8 @@ def load(path: str) -> ByteBpe:
 
 def _mapped(docs: DataFrame, fields: list[tuple[str, T.DataType, pa.DataType]], drop: set[str], text_col: str, values) -> DataFrame:
     prepare(docs.sparkSession)
-    names = {f[0] for f in fields}
-    own = [f for f in docs.schema.fields if f.name not in names | drop]
+    docs = docs.drop(*(n for n, *_ in fields))  # in any case of their letters
+    own = [f for f in docs.schema.fields if f.name not in drop]
     schema = T.StructType([*own, *(T.StructField(n, t) for n, t, _ in fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -253,7 +253,8 @@ def fit(rows: list[tuple[str, str]]) -> ByteGru | None:
 def predict(docs: DataFrame, model: ByteGru | None, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with lang_pred and score; the model, a few hundred KB at most, goes along with the function."""
     prepare(docs.sparkSession)
-    own = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score") and (keep_text or f.name != text_col)]
+    docs = docs.drop("lang_pred", "score")  # in any case of their letters
+    own = [f for f in docs.schema.fields if keep_text or f.name != text_col]
     schema = T.StructType([*own, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

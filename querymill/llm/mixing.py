@@ -67,7 +67,8 @@ def mix(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_
     meet the result, and only if columns besides the id are asked for.
     """
     text_hash = F.xxhash64(text_col)
-    own = [c for c in docs.columns if c not in MADE]
+    docs = docs.drop(*MADE)  # in any case of their letters
+    own = docs.columns
     plan = mix_plan(docs, text_col, id_col, source_col, salt)
     mine = private(docs, "id", "source", "text")
     keys = list(zip((F.col(id_col), F.col(source_col), text_hash), mine))

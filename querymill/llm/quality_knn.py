@@ -165,7 +165,8 @@ def score(docs: DataFrame, model: KnnModel | None, text_col: str = "text", thres
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(model)
-    own = [f for f in docs.schema.fields if f.name not in ("score", "predicted") and (keep_text or f.name != text_col)]
+    docs = docs.drop("score", "predicted")  # in any case of their letters
+    own = [f for f in docs.schema.fields if keep_text or f.name != text_col]
     schema = T.StructType([*own, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

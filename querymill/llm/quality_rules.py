@@ -70,7 +70,8 @@ def _measure(texts: list[bytes]) -> dict[str, np.ndarray]:
 def with_measures(docs: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` and the base measures; ``base_failed`` says whether a base rule fails."""
     prepare(docs.sparkSession)
-    rest = [f for f in docs.schema.fields if f.name not in (*MEASURES, "base_failed") and (keep_text or f.name != text_col)]
+    docs = docs.drop(*MEASURES, "base_failed")  # in any case of their letters
+    rest = [f for f in docs.schema.fields if keep_text or f.name != text_col]
     schema = T.StructType([*rest, *(T.StructField(k, T.LongType()) for k in MEASURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +117,7 @@ def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "sour
     judged = stable(with_measures(docs, text_col, keep_text))
     mine, other, verdict = private(judged, "host", "key", "verdict")
     hosts = host_verdicts(judged, host_col, limit).select(F.col("host").alias(other), "shrunk_rate", F.col("host_kept").alias(verdict))
-    judged = judged.select(*(c for c in judged.columns if c not in ("shrunk_rate", "kept")))
+    judged = judged.drop("shrunk_rate", "kept")
     # Hosts are few beside documents but not bounded: Spark picks the join, and splits a hot host if it sorts and merges.
     joined = judged.withColumn(mine, F.col(host_col)).join(hosts, F.col(mine).eqNullSafe(F.col(other)), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(verdict, F.lit(True))).drop(mine, other, verdict)

@@ -299,8 +299,8 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", id_col: str = "doc_i
     suffixes go to groups, and answers come back by chunk.
     """
     prepare(docs.sparkSession)
-    made = ("n_words", "n_removed", "kept_text", "repeats")
-    own = [f for f in docs.schema.fields if f.name not in made and (keep_text or f.name != text_col)]
+    docs = docs.drop("n_words", "n_removed", "kept_text", "repeats")  # in any case of their letters
+    own = [f for f in docs.schema.fields if keep_text or f.name != text_col]
     docs = docs.select(*dict.fromkeys([*(f.name for f in own), id_col, text_col]))
     groups = docs.sparkSession.sparkContext.broadcast(plan_groups(docs, text_col, width))
     chunk = private(docs, "chunk")[0]

@@ -94,7 +94,8 @@ def load(path: str) -> PieceCounter:
 def count_tokens(docs: DataFrame, path: str, text_col: str = "text", limit: int = TOKEN_LIMIT, keep_text: bool = True) -> DataFrame:
     """``docs`` with n_bytes, n_tokens and over_limit; a map without any shuffle."""
     prepare(docs.sparkSession)
-    own = [f for f in docs.schema.fields if f.name not in ("n_bytes", "n_tokens", "over_limit") and (keep_text or f.name != text_col)]
+    docs = docs.drop("n_bytes", "n_tokens", "over_limit")  # in any case of their letters
+    own = [f for f in docs.schema.fields if keep_text or f.name != text_col]
     schema = T.StructType([*own, T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

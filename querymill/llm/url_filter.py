@@ -119,7 +119,8 @@ def filter_urls(pages: DataFrame, policy: UrlPolicy | None = None, url_col: str
     """``pages`` with host, path, rule, verdict and the vocabulary's counts; a map without any shuffle."""
     prepare(pages.sparkSession)
     policy = policy or UrlPolicy()
-    own = [f for f in pages.schema.fields if f.name not in RESULT.names]
+    pages = pages.drop(*RESULT.names)  # in any case of their letters
+    own = pages.schema.fields
     schema = T.StructType([*own, *RESULT.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

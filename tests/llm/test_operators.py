@@ -392,6 +392,30 @@ def test_empty_tables(spark):
         assert out.count() == 0
 
 
+@pytest.mark.parametrize(
+    "names, run",
+    [
+        ("N_Words KEPT Base_Failed shrunk_RATE", lambda d, _: quality_rules.quality_rules(d)),
+        ("SCORE Lang_Pred HELD_OUT", lambda d, _: language_id.identify(d)),
+        ("HOST Path RULE Verdict", lambda d, _: url_filter.filter_urls(d, url_col="text")),
+        ("SCORE Predicted HELD_OUT", quality_knn.classify),
+        ("N_Words N_REMOVED Kept_Text", lambda d, _: substring_dedup.remove_repeats(d)),
+        ("SIZE Source_Size TARGET Taken COPIES", lambda d, _: mixing.mix(d)),
+        ("N_Tokens IDS_sha256 Decoded_SHA256", lambda d, _: bpe.digests(d, tokenizer("byte_bpe_50k.json"))),
+        ("N_Tokens N_BYTES Over_Limit", lambda d, _: token_counts.count_tokens(d, tokenizer("piece_bpe_32k.model"))),
+        ("N_Shingles COMPONENT_ID", lambda d, _: ngram_join.jaccard_classes(d)),
+    ],
+)
+def test_result_names_in_other_case_are_replaced(spark, names, run):
+    rows = [(i, t, "en", "s", *["old"] * len(names.split())) for i, t in enumerate([None, "", "a b c d e f", "a b c d e f"])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in names.split()))
+    out = run(d, spark.createDataFrame([(2, 1), (3, 0)], "doc_id long, quality int"))
+    assert len({c.lower() for c in out.columns}) == len(out.columns)
+    got = out.collect()
+    assert len(got) == 4
+    assert all(r[c.lower()] != "old" for r in got for c in names.split())
+
+
 def test_hostile_columns_and_texts(spark):
     """Null, empty, huge and repeated texts, null ids, and columns named like private ones."""
     huge = "lorem ipsum dolor sit amet " * 20_000
