@@ -18,7 +18,7 @@ like a result column are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querymill.llm.session import private, stable
@@ -136,6 +136,6 @@ def mix_plan(docs: DataFrame, text_col: str, id_col: str, source_col: str, salt:
     return d.select(*own, *made)
 
 
-def repeat_taken(mixed: DataFrame, columns: list[str]) -> DataFrame:
+def repeat_taken(mixed: DataFrame, columns: list[str] | list[Column]) -> DataFrame:
     """The rows of the mix: each document as often as it was taken."""
     return mixed.where("copies > 0").select(*columns, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("__copy")).drop("__copy")
