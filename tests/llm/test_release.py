@@ -3,7 +3,10 @@
 import gc
 import time
 
-from querymill.llm import session
+import numpy as np
+
+import corpus_pipeline
+from querymill.llm import ann, session
 from querymill.llm.components import components
 
 
@@ -12,15 +15,36 @@ def held(spark):
     return spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size()
 
 
-def test_dropped_tables_leave_the_driver(spark, monkeypatch):
+def left_by(spark, monkeypatch, run):
+    """What ``run`` gives, and the shuffles that it leaves on the driver."""
     monkeypatch.setattr(session, "RELEASE_S", 0.0, raising=False)
     gc.collect()
     spark._jvm.java.lang.System.gc()
     time.sleep(2)
     before = held(spark)
-    labels = components(spark.range(200).selectExpr("id AS a", "id + 1 AS b"))
+    out = run()
     time.sleep(2)  # the cleaner works beside the run
-    after = held(spark)
+    return out, held(spark) - before
+
+
+def test_dropped_tables_leave_the_driver(spark, monkeypatch):
+    labels, more = left_by(spark, monkeypatch, lambda: components(spark.range(200).selectExpr("id AS a", "id + 1 AS b")))
     assert labels.select("label").distinct().count() == 1
     # A round has five shuffles or more, and a path of 200 takes several rounds.
-    assert after - before <= 12
+    assert more <= 12
+
+
+def test_neighbours_leave_the_driver(spark, monkeypatch):
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(1).normal(size=(300, 8)))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out, more = left_by(spark, monkeypatch, lambda: ann.nearest(vectors))
+    assert out.count() == 30
+    assert more <= 12
+
+
+def test_join_stage_leaves_the_driver(spark, monkeypatch):
+    texts = [" ".join(f"w{i + k}" for k in range(60)) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out, more = left_by(spark, monkeypatch, lambda: corpus_pipeline.keep_one_of_near_copies(spark, docs, ""))
+    assert out.count() == 1
+    assert more <= 12
