@@ -48,3 +48,25 @@ def test_join_stage_leaves_the_driver(spark, monkeypatch):
     out, more = left_by(spark, monkeypatch, lambda: corpus_pipeline.keep_one_of_near_copies(spark, docs, ""))
     assert out.count() == 1
     assert more <= 12
+
+
+def bits(df):
+    """Of the size in bytes that Spark estimates for ``df``."""
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+
+
+def test_estimated_sizes_of_rounds_stay_small(spark):
+    df = spark.range(20).selectExpr("id", "id + 1 AS n")
+    for _ in range(5):
+        df = session.stable(df.join(df.selectExpr("id AS n", "n AS m"), "n", "left").selectExpr("id", "coalesce(m, n) AS n"))
+    assert bits(df) <= 71
+    assert sorted(map(tuple, df.collect())) == [(i, min(i + 32, 20)) for i in range(20)]
+
+
+def test_estimated_sizes_of_the_search_stay_small(spark, monkeypatch):
+    rows = [(i, v.tolist()) for i, v in enumerate(np.random.default_rng(1).normal(size=(300, 8)))]
+    written = []
+    monkeypatch.setattr(ann, "stable", lambda df: written.append(session.stable(df)) or written[-1])
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    assert out.count() == 30
+    assert max(map(bits, written)) <= 71
